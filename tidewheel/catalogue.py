@@ -1,6 +1,496 @@
-"""Every registered query and its SQL."""
+"""Every registered query of the exchange engine and the SQL that says what it must return.
+
+`r` is the reduce id pmod(l_partkey, 5), `m` the map id pmod(l_orderkey, 40).
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tidewheel.functions import decoded_size, size_code
+from tidewheel.operators import combining, integrity, ordering, partitioning
+from tidewheel.plans import fetching, flushing
+from tidewheel.sources.exchange import Exchange, register
+from tidewheel.sources.tables import table
+from tidewheel.streaming import session_counts, tumbling_counts
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+REDUCES, MAPS, WIDTH = 5, 40, 100
+LINE_KEYS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+
+
+def query(sql: str | None = None):
+    """Register a function as a query under its own name."""
+
+    def put(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return put
+
+
+def reduce_id() -> Column:
+    return partitioning.modulo(F.col("l_partkey"), REDUCES)
+
+
+def map_id() -> Column:
+    return partitioning.modulo(F.col("l_orderkey"), MAPS)
+
+
+def lines(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    df = table(spark, sf_dir, "lineitem")
+    return df.select(*columns) if columns else df
+
+
+def placed_lines(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    return lines(spark, sf_dir).select(map_id().alias("map_id"), reduce_id().alias("reduce_id"), *columns)
+
+
+def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return integrity.block_statistics(placed_lines(spark, sf_dir), WIDTH)
+
+
+# Partitioning
+
+
+@query("SELECT * FROM lineitem")
+def exchange_hash(spark, sf_dir):
+    return partitioning.by_hash(lines(spark, sf_dir), "l_partkey")
+
+
+@query("SELECT * FROM lineitem")
+def exchange_range(spark, sf_dir):
+    return partitioning.by_range(lines(spark, sf_dir), "l_orderkey")
+
+
+@query("SELECT * FROM lineitem")
+def exchange_single(spark, sf_dir):
+    return partitioning.to_one(lines(spark, sf_dir))
+
+
+@query("SELECT * FROM lineitem")
+def exchange_round_robin(spark, sf_dir):
+    return partitioning.round_robin(lines(spark, sf_dir))
+
+
+@query("SELECT * FROM lineitem")
+def exchange_passthrough(spark, sf_dir):
+    """No aggregator: duplicates stay."""
+    return partitioning.by_hash(lines(spark, sf_dir), "l_orderkey")
+
+
+@query("SELECT l_partkey % 5 AS r, count(*) AS n, sum(l_linenumber)::BIGINT AS s FROM lineitem GROUP BY 1")
+def exchange_custom_mod(spark, sf_dir):
+    placed = partitioning.by_id(lines(spark, sf_dir, "l_partkey", "l_linenumber").withColumn("r", reduce_id()), REDUCES, F.col("r"))
+    return placed.groupBy("r").agg(F.count("*").alias("n"), F.sum("l_linenumber").alias("s"))
+
+
+@query("SELECT l_returnflag, count(*) AS n, sum(l_linenumber)::BIGINT AS s, max(l_partkey) AS hi FROM lineitem GROUP BY 1")
+def exchange_salted(spark, sf_dir):
+    df = lines(spark, sf_dir, "l_returnflag", "l_orderkey", "l_linenumber", "l_partkey")
+    return partitioning.salted_totals(df, "l_returnflag", {"n": ("count", "l_linenumber"), "s": ("sum", "l_linenumber"), "hi": ("max", "l_partkey")})
+
+
+# The durable exchange
+
+
+def stored(spark: SparkSession, sf_dir: str) -> Exchange:
+    """Combined records of lineitem, one for each (map, reduce, key), in a new exchange."""
+    runs = combining.partial_runs(placed_lines(spark, sf_dir, "l_partkey", "l_linenumber"), ["map_id", "reduce_id", "l_partkey"], "l_linenumber", ["count", "sum"])
+    return register(spark, REDUCES).write(runs, F.col("reduce_id"), F.col("map_id"))
+
+
+def totals(partial: DataFrame) -> DataFrame:
+    merged = combining.merge_runs(partial, "l_partkey", ["count", "sum"])
+    return merged.select(F.col("l_partkey").alias("key"), F.col("count").alias("n"), F.col("sum").alias("s"))
+
+
+_TOTALS = "SELECT l_partkey AS key, count(*) AS n, sum(l_linenumber)::BIGINT AS s FROM lineitem {} GROUP BY 1"
+
+
+@query(_TOTALS.format(""))
+def materialized_exchange(spark, sf_dir):
+    return totals(stored(spark, sf_dir).read())
+
+
+@query(_TOTALS.format("WHERE l_partkey % 5 >= 1 AND l_partkey % 5 < 3"))
+def partition_range_read(spark, sf_dir):
+    return totals(stored(spark, sf_dir).read(1, 3)).sortWithinPartitions("key")
+
+
+@query(_TOTALS.format("WHERE l_partkey % 5 >= 1 AND l_partkey % 5 < 3 AND l_orderkey % 40 < 20"))
+def map_range_read(spark, sf_dir):
+    return totals(stored(spark, sf_dir).read(1, 3, 0, 20))
+
+
+@query()
+def unregister_shuffle(spark, sf_dir):
+    exchange = stored(spark, sf_dir)
+    seen = [exchange.exists(), exchange.unregister(), exchange.exists(), exchange.unregister()]
+    return spark.createDataFrame([tuple(seen)], "stored boolean, removed boolean, still_there boolean, removed_again boolean")
+
+
+# Combining
+
+
+@query("""SELECT l_partkey AS key, count(*) AS n, sum(l_linenumber)::BIGINT AS s, min(l_linenumber) AS lo, max(l_linenumber) AS hi,
+ sum(l_linenumber)::DOUBLE / count(*) AS mean FROM lineitem GROUP BY 1""")
+def combine_map_side(spark, sf_dir):
+    names = ["count", "sum", "min", "max"]
+    runs = combining.partial_runs(placed_lines(spark, sf_dir, "l_partkey", "l_linenumber"), ["map_id", "l_partkey"], "l_linenumber", names)
+    merged = combining.merge_runs(runs, "l_partkey", names)
+    return merged.select(F.col("l_partkey").alias("key"), F.col("count").alias("n"), F.col("sum").alias("s"), F.col("min").alias("lo"), F.col("max").alias("hi"), (F.col("sum").cast("double") / F.col("count")).alias("mean"))
+
+
+@query("SELECT l_partkey AS key, list_sort(list(l_linenumber)) AS vals, sum(l_linenumber)::BIGINT AS s FROM lineitem GROUP BY 1")
+def combine_reduce_side(spark, sf_dir):
+    gathered = combining.gather(lines(spark, sf_dir, "l_partkey", "l_linenumber"), "l_partkey", "l_linenumber", "vals")
+    return gathered.select(F.col("l_partkey").alias("key"), "vals", F.aggregate("vals", F.lit(0).cast("long"), lambda a, x: a + x).alias("s"))
+
+
+@query("SELECT l_partkey AS key, count(DISTINCT l_orderkey % 40) AS runs, count(*) AS total FROM lineitem GROUP BY 1")
+def combine_partial_runs(spark, sf_dir):
+    runs = combining.partial_runs(placed_lines(spark, sf_dir, "l_partkey"), ["map_id", "l_partkey"], "l_partkey", ["count"])
+    return runs.groupBy(F.col("l_partkey").alias("key")).agg(F.count("*").alias("runs"), F.sum("p_count").alias("total"))
+
+
+@query("SELECT l_suppkey AS key, sum(l_linenumber)::BIGINT AS s FROM lineitem GROUP BY 1")
+def reduce_by_key(spark, sf_dir):
+    df = combining.combine(lines(spark, sf_dir, "l_suppkey", "l_linenumber"), "l_suppkey", "l_linenumber", ["sum"])
+    return df.toDF("key", "s")
+
+
+@query("SELECT l_suppkey AS key, greatest(max(l_linenumber), 3) AS top FROM lineitem GROUP BY 1")
+def fold_by_key(spark, sf_dir):
+    return combining.fold(lines(spark, sf_dir, "l_suppkey", "l_linenumber"), "l_suppkey", F.lit(3), F.col("l_linenumber"), "top").withColumnRenamed("l_suppkey", "key")
+
+
+@query("SELECT l_suppkey AS key, sum(l_linenumber)::BIGINT AS s, count(*) AS n FROM lineitem GROUP BY 1")
+def aggregate_by_key(spark, sf_dir):
+    return combining.combine(lines(spark, sf_dir, "l_suppkey", "l_linenumber"), "l_suppkey", "l_linenumber", ["sum", "count"]).toDF("key", "s", "n")
+
+
+@query("SELECT o_custkey AS key, list_sort(list(o_orderkey)) AS vals FROM orders GROUP BY 1")
+def group_by_key(spark, sf_dir):
+    return combining.gather(table(spark, sf_dir, "orders"), "o_custkey", "o_orderkey", "vals").withColumnRenamed("o_custkey", "key")
+
+
+@query("SELECT l_partkey AS key, count(*) AS n FROM lineitem GROUP BY 1")
+def count_by_key(spark, sf_dir):
+    return lines(spark, sf_dir, "l_partkey").groupBy(F.col("l_partkey").alias("key")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT DISTINCT l_partkey AS key, l_suppkey AS supp FROM lineitem")
+def distinct_keys(spark, sf_dir):
+    return lines(spark, sf_dir).select(F.col("l_partkey").alias("key"), F.col("l_suppkey").alias("supp")).distinct()
+
+
+# Ordering
+
+
+@query("SELECT o_orderkey, o_custkey, row_number() OVER (ORDER BY o_orderkey) AS rank FROM orders")
+def sort_by_key(spark, sf_dir):
+    return ordering.globally_ranked(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), F.col("o_orderkey"))
+
+
+@query(f"SELECT {', '.join(LINE_KEYS)}, row_number() OVER (ORDER BY l_linenumber DESC, l_orderkey, l_partkey, l_suppkey) AS rank FROM lineitem")
+def global_sort(spark, sf_dir):
+    return ordering.globally_ranked(lines(spark, sf_dir, *LINE_KEYS), F.desc("l_linenumber"), F.asc("l_orderkey"), F.asc("l_partkey"), F.asc("l_suppkey"))
+
+
+@query("WITH a AS (SELECT l_partkey AS key, count(*) AS n FROM lineitem GROUP BY 1) SELECT key, n, row_number() OVER (ORDER BY n DESC, key) AS rank FROM a")
+def agg_then_sort(spark, sf_dir):
+    return ordering.globally_ranked(count_by_key(spark, sf_dir), F.desc("n"), F.asc("key"))
+
+
+@query(f"SELECT l_partkey % 5 AS r, {', '.join(LINE_KEYS)}, row_number() OVER (PARTITION BY l_partkey % 5, l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey) AS rank FROM lineitem")
+def repartition_and_sort(spark, sf_dir):
+    """Secondary sort: a partitioner on (r, supplier) and an order inside."""
+    placed = lines(spark, sf_dir, *LINE_KEYS).withColumn("r", reduce_id())
+    return ordering.ranked(placed, "l_orderkey", "l_linenumber", "l_partkey", within=["r", "l_suppkey"])
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10")
+def top_k(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(10)
+
+
+# Statistics and flow
+
+
+_BLOCKS = "SELECT l_orderkey % 40 AS map_id, l_partkey % 5 AS reduce_id, count(*) AS n_records, count(*) * 100 AS n_bytes FROM lineitem GROUP BY ALL"
+_GRID = f"""WITH b AS ({_BLOCKS}), g AS (SELECT m.range AS map_id, r.range AS reduce_id FROM range(40) m, range(5) r)
+ SELECT map_id, reduce_id, coalesce(n_records, 0) AS n_records, coalesce(n_bytes, 0) AS n_bytes FROM g LEFT JOIN b USING (map_id, reduce_id)"""
+
+
+@query(_GRID)
+def partition_lengths(spark, sf_dir):
+    return integrity.full_grid(blocks(spark, sf_dir), MAPS, REDUCES).select("map_id", "reduce_id", "n_records", "n_bytes")
+
+
+@query(f"WITH b AS ({_BLOCKS}), t AS (SELECT reduce_id, sum(n_bytes)::BIGINT AS n_bytes FROM b GROUP BY 1) SELECT *, row_number() OVER (ORDER BY n_bytes DESC, reduce_id) AS rank FROM t")
+def partition_size_rank(spark, sf_dir):
+    sizes = blocks(spark, sf_dir).groupBy("reduce_id").agg(F.sum("n_bytes").alias("n_bytes"))  # one row a reduce id
+    return ordering.ranked(sizes, F.desc("n_bytes"), "reduce_id")
+
+
+@query(f"SELECT map_id, reduce_id, n_bytes FROM ({_BLOCKS}) WHERE n_bytes < 30000")
+def small_blocks(spark, sf_dir):
+    return blocks(spark, sf_dir).where("n_bytes < 30000").select("map_id", "reduce_id", "n_bytes")
+
+
+@query(f"""WITH c AS (SELECT map_id, reduce_id, n_bytes, least(255, ceil(ln(n_bytes::DOUBLE) / ln(1.1::DOUBLE)))::BIGINT AS code FROM ({_BLOCKS}))
+ SELECT *, floor(pow(1.1::DOUBLE, code::DOUBLE))::BIGINT AS decoded FROM c""")
+def size_codes(spark, sf_dir):
+    coded = blocks(spark, sf_dir).select("map_id", "reduce_id", "n_bytes", size_code(F.col("n_bytes")).alias("code"))
+    return coded.withColumn("decoded", decoded_size(F.col("code")))
+
+
+@query(f"SELECT reduce_id, sum(n_records)::BIGINT AS records, sum(n_bytes)::BIGINT AS bytes, count(*) AS blocks FROM ({_BLOCKS}) GROUP BY 1")
+def read_metrics(spark, sf_dir):
+    return blocks(spark, sf_dir).groupBy("reduce_id").agg(F.sum("n_records").alias("records"), F.sum("n_bytes").alias("bytes"), F.count("*").alias("blocks"))
+
+
+@query(f"SELECT map_id, sum(n_records)::BIGINT AS records, sum(n_bytes)::BIGINT AS bytes, count(*) AS blocks FROM ({_BLOCKS}) GROUP BY 1")
+def write_metrics(spark, sf_dir):
+    return blocks(spark, sf_dir).groupBy("map_id").agg(F.sum("n_records").alias("records"), F.sum("n_bytes").alias("bytes"), F.count("*").alias("blocks"))
+
+
+@query(f"""WITH a AS (SELECT reduce_id, map_id, n_bytes AS len, sum(n_bytes) OVER (PARTITION BY reduce_id ORDER BY map_id) AS en FROM ({_BLOCKS}) WHERE n_bytes > 0),
+ b AS (SELECT *, en - len AS st FROM a),
+ c AS (SELECT *, unnest(range(CASE WHEN st < 10240 THEN 0 ELSE 1 + (st - 10240) // 20480 END::BIGINT, (CASE WHEN en - 1 < 10240 THEN 0 ELSE 1 + (en - 1 - 10240) // 20480 END + 1)::BIGINT)) AS req FROM b),
+ d AS (SELECT *, greatest(st, CASE WHEN req = 0 THEN 0 ELSE 10240 + (req - 1) * 20480 END) AS lo, least(en, 10240 + req * 20480) AS hi FROM c)
+ SELECT reduce_id AS r, map_id AS m, req, (lo - st)::BIGINT AS off, (hi - lo)::BIGINT AS n FROM d""")
+def fetch_plan(spark, sf_dir):
+    return fetching.fetch_plan(blocks(spark, sf_dir).select("reduce_id", "map_id", F.col("n_bytes").alias("len")), 10_240, 20_480)
+
+
+@query("""WITH RECURSIVE o AS (SELECT doc_id % 5 AS reduce_id, doc_id, row_number() OVER (PARTITION BY doc_id % 5 ORDER BY doc_id) AS i, strlen(text) AS b FROM documents),
+ f AS (SELECT reduce_id, doc_id, i, 0::BIGINT AS round, b::BIGINT AS held FROM o WHERE i = 1
+ UNION ALL SELECT o.reduce_id, o.doc_id, o.i, f.round + (f.held >= 20000)::BIGINT, CASE WHEN f.held >= 20000 THEN o.b ELSE f.held + o.b END::BIGINT FROM f JOIN o ON o.reduce_id = f.reduce_id AND o.i = f.i + 1)
+ SELECT reduce_id, doc_id, round FROM f""")
+def flush_rounds(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(F.pmod("doc_id", F.lit(5)).cast("long").alias("reduce_id"), "doc_id", F.octet_length("text").alias("size"))
+    return flushing.flush_rounds(docs, "reduce_id", "doc_id", "size", 20_000)
+
+
+@query()
+def largest_first_flush(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    buffered = docs.select(F.pmod("doc_id", F.lit(8)).cast("long").alias("map_id"), "doc_id", F.pmod(F.col("doc_id"), F.lit(5)).cast("long").alias("reduce_id"), F.octet_length("text").cast("long").alias("size"))
+    return flushing.largest_first(buffered, "map_id", "doc_id", "reduce_id", "size", 40_000)
+
+
+@query("WITH RECURSIVE s AS (SELECT 1::BIGINT AS due UNION ALL SELECT ceil(due * 1.1::DOUBLE)::BIGINT FROM s WHERE ceil(due * 1.1::DOUBLE) <= 1000) SELECT due FROM s")
+def sample_schedule(spark, sf_dir):
+    return spark.createDataFrame([(n,) for n in flushing.sample_schedule(1000)], "due long")
+
+
+# Commit and integrity; the faults are seeded in derived tables
+
+
+def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A manifest with a lost first attempt of every third map and a speculative, uncommitted one of every seventh."""
+    maps = blocks(spark, sf_dir).groupBy("map_id").agg(F.sum("n_bytes").alias("n_bytes"))
+    first = maps.select("map_id", F.lit(0).alias("attempt"), F.lit(True).alias("committed"), "n_bytes")
+    again = maps.where("map_id % 3 = 0").select("map_id", F.lit(1).alias("attempt"), F.lit(True).alias("committed"), "n_bytes")
+    extra = maps.where("map_id % 7 = 0").select("map_id", F.lit(2).alias("attempt"), F.lit(False).alias("committed"), "n_bytes")
+    return first.unionByName(again).unionByName(extra)
+
+
+@query(f"""WITH m AS (SELECT map_id, sum(n_bytes)::BIGINT AS n_bytes FROM ({_BLOCKS}) GROUP BY 1),
+ a AS (SELECT map_id, 0 AS attempt, true AS committed, n_bytes FROM m UNION ALL SELECT map_id, 1, true, n_bytes FROM m WHERE map_id % 3 = 0 UNION ALL SELECT map_id, 2, false, n_bytes FROM m WHERE map_id % 7 = 0)
+ SELECT map_id, attempt, n_bytes FROM a WHERE committed QUALIFY row_number() OVER (PARTITION BY map_id ORDER BY attempt DESC) = 1""")
+def committed_outputs(spark, sf_dir):
+    return integrity.committed(attempts(spark, sf_dir)).select("map_id", "attempt", "n_bytes")
+
+
+@query(f"""WITH e AS ({_BLOCKS}), a AS (SELECT l_orderkey % 40 AS map_id, l_partkey % 5 AS reduce_id, count(*) * 100 AS n_bytes FROM lineitem WHERE NOT (l_orderkey % 40 = 7 AND l_linenumber < 3) GROUP BY ALL)
+ SELECT map_id, reduce_id, e.n_bytes AS expected, coalesce(a.n_bytes, 0) AS actual FROM e LEFT JOIN a USING (map_id, reduce_id) WHERE coalesce(a.n_bytes, 0) * 1.1::DOUBLE < e.n_bytes""")
+def size_check(spark, sf_dir):
+    broken = placed_lines(spark, sf_dir, "l_linenumber").where(~((F.col("map_id") == 7) & (F.col("l_linenumber") < 3)))
+    return integrity.short_blocks(integrity.block_statistics(broken, WIDTH), blocks(spark, sf_dir))
+
+
+@query(f"""WITH e AS (SELECT * FROM ({_BLOCKS}) WHERE map_id <> 11), a AS (SELECT * FROM ({_BLOCKS}) WHERE NOT (map_id = 3 AND reduce_id = 2))
+ SELECT map_id, reduce_id, 'missing' AS problem FROM e ANTI JOIN a USING (map_id, reduce_id) UNION ALL SELECT map_id, reduce_id, 'unlisted' FROM a ANTI JOIN e USING (map_id, reduce_id)""")
+def completeness_check(spark, sf_dir):
+    whole = blocks(spark, sf_dir)
+    return integrity.unmatched_blocks(whole.where("NOT (map_id = 3 AND reduce_id = 2)"), whole.where("map_id <> 11"))
+
+
+@query(f"WITH b AS ({_BLOCKS}), l AS (SELECT map_id, reduce_id FROM b UNION ALL SELECT map_id, reduce_id FROM b WHERE map_id % 13 = 0) SELECT map_id, reduce_id, count(*) AS n FROM l GROUP BY ALL HAVING count(*) > 1")
+def duplicate_blocks(spark, sf_dir):
+    listed = blocks(spark, sf_dir).select("map_id", "reduce_id")
+    return integrity.duplicate_blocks(listed.unionByName(listed.where("map_id % 13 = 0")))
+
+
+_CHECKSUM = "(l_orderkey * 31 + l_partkey * 7 + l_linenumber)"
+
+
+@query(f"""WITH e AS (SELECT l_orderkey % 40 AS map_id, l_partkey % 5 AS reduce_id, sum({_CHECKSUM})::BIGINT AS c FROM lineitem GROUP BY ALL),
+ a AS (SELECT l_orderkey % 40 AS map_id, l_partkey % 5 AS reduce_id, sum({_CHECKSUM} + (l_orderkey % 40 = 5 AND l_partkey % 5 = 1)::INT)::BIGINT AS c FROM lineitem GROUP BY ALL)
+ SELECT map_id, reduce_id, e.c AS expected, a.c AS actual FROM e JOIN a USING (map_id, reduce_id) WHERE e.c <> a.c""")
+def checksum_check(spark, sf_dir):
+    rows = placed_lines(spark, sf_dir, "l_orderkey", "l_partkey", "l_linenumber")
+    sound = F.expr(_CHECKSUM)
+    flipped = sound + ((F.col("map_id") == 5) & (F.col("reduce_id") == 1)).cast("int")
+    return integrity.corrupt_blocks(integrity.block_checksums(rows, flipped), integrity.block_checksums(rows, sound))
+
+
+# Carried by Spark on top of exchanges
+
+
+@query("SELECT l_orderkey, l_linenumber, l_extendedprice * (1 - l_discount) AS net FROM lineitem WHERE l_quantity >= 25 AND l_returnflag = 'R'")
+def filter_project(spark, sf_dir):
+    df = lines(spark, sf_dir).where((F.col("l_quantity") >= 25) & (F.col("l_returnflag") == "R"))
+    return df.select("l_orderkey", "l_linenumber", (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("net"))
+
+
+def orders_customers(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority"), table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment")
+
+
+@query("SELECT o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey")
+def join_inner(spark, sf_dir):
+    o, c = orders_customers(spark, sf_dir)
+    return o.join(c, o.o_custkey == c.c_custkey).select("o_orderkey", "c_name")
+
+
+@query("SELECT c_custkey, o_orderkey FROM customer LEFT JOIN (SELECT * FROM orders WHERE o_orderpriority = '1-URGENT') ON o_custkey = c_custkey")
+def join_left(spark, sf_dir):
+    o, c = orders_customers(spark, sf_dir)
+    o = o.where(F.col("o_orderpriority") == "1-URGENT")
+    return c.join(o, o.o_custkey == c.c_custkey, "left").select("c_custkey", "o_orderkey")
+
+
+@query("SELECT c_custkey, o_orderkey FROM (SELECT * FROM customer WHERE c_mktsegment = 'BUILDING') FULL JOIN (SELECT * FROM orders WHERE o_orderkey % 3 = 0) ON o_custkey = c_custkey")
+def join_full(spark, sf_dir):
+    o, c = orders_customers(spark, sf_dir)
+    o, c = o.where("o_orderkey % 3 = 0"), c.where("c_mktsegment = 'BUILDING'")
+    return c.join(o, o.o_custkey == c.c_custkey, "full").select("c_custkey", "o_orderkey")
+
+
+@query("SELECT c_custkey, c_name FROM customer SEMI JOIN (SELECT * FROM orders WHERE o_totalprice > 200000) ON o_custkey = c_custkey")
+def join_semi(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").where("o_totalprice > 200000")
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
+    return c.join(o, F.col("o_custkey") == F.col("c_custkey"), "left_semi")
+
+
+@query("SELECT c_custkey, c_name FROM customer ANTI JOIN (SELECT * FROM orders WHERE o_totalprice > 200000) ON o_custkey = c_custkey")
+def join_anti(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").where("o_totalprice > 200000")
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
+    return c.join(o, F.col("o_custkey") == F.col("c_custkey"), "left_anti")
+
+
+@query("SELECT c_custkey, n_name, r_name FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
+def join_broadcast(spark, sf_dir):
+    """Nation and region are fixed tables of 25 and 5 rows."""
+    places = table(spark, sf_dir, "nation").join(F.broadcast(table(spark, sf_dir, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
+    return table(spark, sf_dir, "customer").join(F.broadcast(places), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "n_name", "r_name")
+
+
+@query("""WITH e AS (SELECT user_id, event_id, ts FROM events WHERE event_type = 'purchase'), c AS (SELECT user_id, ts FROM events WHERE event_type = 'click')
+ SELECT e.event_id, max(c.ts) AS last_click FROM e LEFT JOIN c ON e.user_id = c.user_id AND c.ts <= e.ts GROUP BY 1""")
+def join_asof(spark, sf_dir):
+    """Last click at or before each purchase: one sorted pass over the union of both sides, no pairs."""
+    events = table(spark, sf_dir, "events").where(F.col("event_type").isin("purchase", "click"))
+    w = Window.partitionBy("user_id").orderBy("ts", F.col("event_type") == "purchase", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    seen = events.withColumn("last_click", F.last(F.when(F.col("event_type") == "click", F.col("ts")), ignorenulls=True).over(w))
+    return seen.where("event_type = 'purchase'").select("event_id", "last_click")
+
+
+@query("""WITH a AS (SELECT o_custkey AS key, list_sort(list(o_orderkey)) AS l FROM orders WHERE o_orderkey % 2 = 0 GROUP BY 1), b AS (SELECT o_custkey AS key, list_sort(list(o_orderkey)) AS l FROM orders WHERE o_orderkey % 3 = 0 GROUP BY 1)
+ SELECT key, coalesce(a.l, []) AS left_values, coalesce(b.l, []) AS right_values FROM a FULL JOIN b USING (key)""")
+def cogroup(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("key"), "o_orderkey")
+    return combining.cogroup(o.where("o_orderkey % 2 = 0"), o.where("o_orderkey % 3 = 0"), "key", "o_orderkey", "o_orderkey")
+
+
+@query("SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)")
+def rollup(spark, sf_dir):
+    return lines(spark, sf_dir).rollup("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"))
+
+
+@query("SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)")
+def cube(spark, sf_dir):
+    return lines(spark, sf_dir).cube("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"))
+
+
+@query("SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY GROUPING SETS ((l_returnflag), (l_linestatus), ())")
+def grouping_sets(spark, sf_dir):
+    df = lines(spark, sf_dir)
+    return df.groupingSets([[F.col("l_returnflag")], [F.col("l_linestatus")], []], F.col("l_returnflag"), F.col("l_linestatus")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT l_returnflag, count(DISTINCT l_partkey) AS parts, count(DISTINCT l_suppkey) AS suppliers FROM lineitem GROUP BY 1")
+def count_distinct(spark, sf_dir):
+    return lines(spark, sf_dir).groupBy("l_returnflag").agg(F.countDistinct("l_partkey").alias("parts"), F.countDistinct("l_suppkey").alias("suppliers"))
+
+
+def customer_window():
+    return Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+
+
+@query("SELECT o_orderkey, row_number() OVER w AS k, dense_rank() OVER (PARTITION BY o_custkey ORDER BY o_orderdate) AS day_rank FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)")
+def window_rank(spark, sf_dir):
+    by_day = Window.partitionBy("o_custkey").orderBy("o_orderdate")
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.row_number().over(customer_window()).cast("long").alias("k"), F.dense_rank().over(by_day).cast("long").alias("day_rank"))
+
+
+@query("SELECT o_orderkey, count(*) OVER w AS orders_so_far, round(sum(o_totalprice) OVER w, 2) AS spent FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING)")
+def window_running_sum(spark, sf_dir):
+    w = customer_window().rowsBetween(Window.unboundedPreceding, 0)
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.count("*").over(w).alias("orders_so_far"), F.round(F.sum("o_totalprice").over(w), 2).alias("spent"))
+
+
+@query("SELECT o_orderkey, lag(o_orderkey) OVER w AS previous, lead(o_orderkey) OVER w AS following FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)")
+def window_lag(spark, sf_dir):
+    w = customer_window()
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.lag("o_orderkey").over(w).alias("previous"), F.lead("o_orderkey").over(w).alias("following"))
+
+
+def key_sets(spark, sf_dir):
+    df = lines(spark, sf_dir, "l_partkey", "l_quantity")
+    return df.where("l_quantity < 10").select("l_partkey"), df.where("l_quantity > 45").select("l_partkey")
+
+
+_SET = "SELECT l_partkey FROM lineitem WHERE l_quantity < 10 {} SELECT l_partkey FROM lineitem WHERE l_quantity > 45"
+
+
+@query(_SET.format("UNION"))
+def set_union_distinct(spark, sf_dir):
+    a, b = key_sets(spark, sf_dir)
+    return a.union(b).distinct()
+
+
+@query(_SET.format("INTERSECT"))
+def set_intersect(spark, sf_dir):
+    a, b = key_sets(spark, sf_dir)
+    return a.intersect(b)
+
+
+@query(_SET.format("EXCEPT"))
+def set_except(spark, sf_dir):
+    a, b = key_sets(spark, sf_dir)
+    return a.subtract(b)
+
+
+@query("SELECT time_bucket(INTERVAL 1 DAY, ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL")
+def events_tumbling(spark, sf_dir):
+    return tumbling_counts(table(spark, sf_dir, "events"))
+
+
+@query("""WITH g AS (SELECT user_id, ts, (ts - lag(ts) OVER w >= INTERVAL 30 MINUTE)::INT AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+ s AS (SELECT user_id, ts, sum(coalesce(fresh, 1)) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
+ SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 30 MINUTE AS session_end, count(*) AS n FROM s GROUP BY user_id, k""")
+def events_sessions(spark, sf_dir):
+    return session_counts(table(spark, sf_dir, "events"))

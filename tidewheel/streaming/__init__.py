@@ -1 +1,22 @@
+"""Event streams: windowed counts with late data, as batch and as a stream."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def tumbling_counts(events: DataFrame, width: str = "1 day", watermark: str | None = None) -> DataFrame:
+    """Events by window and type. With a watermark the same plan runs on a stream and drops state of closed windows."""
+    if watermark:
+        events = events.withWatermark("ts", watermark)
+    counted = events.groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count("*").alias("n"))
+    return counted.select(F.col("w.start").alias("window_start"), "event_type", "n")
+
+
+def session_counts(events: DataFrame, gap: str = "30 minutes", watermark: str | None = None) -> DataFrame:
+    """Sessions of each user: runs of events no further apart than `gap`."""
+    if watermark:
+        events = events.withWatermark("ts", watermark)
+    counted = events.groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("n"))
+    return counted.select("user_id", F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "n")
