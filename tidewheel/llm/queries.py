@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from tidewheel.llm.language import op9_language_id
 from tidewheel.llm.packing import op2_packing
+from tidewheel.llm.quality import op1_quality
 from tidewheel.llm.token_counts import op6_token_counts
 
 QUERIES = {
+    "op1_quality": op1_quality,
     "op2_packing": op2_packing,
     "op6_token_counts": op6_token_counts,
+    "op9_language_id": op9_language_id,
 }
 
 ORACLE_SQL: dict[str, str] = {}
