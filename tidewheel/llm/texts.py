@@ -93,9 +93,8 @@ def shingles(hashes: np.ndarray, before: np.ndarray, width: int = 5) -> tuple[np
     with np.errstate(over="ignore"):
         for i in range(width):
             shifted = np.zeros(n, U64)
-            shifted[: n - i] = hashes[i:]
-            inside = np.zeros(n, bool)
-            inside[: n - i] = text[i:] == text[: n - i]
-            rolled = rolled * STEP + shifted * inside
+            m = max(0, n - i)
+            shifted[:m] = hashes[i:] * (text[i:] == text[:m])
+            rolled = rolled * STEP + shifted
     whole = np.arange(n) <= np.maximum(before[1:] - width, before[:-1])[text]
     return mix(rolled[whole]), text[whole]
