@@ -9,12 +9,14 @@ from tidewheel.llm.near_duplicates import op7_near_duplicates
 from tidewheel.llm.neighbours import op4_neighbours
 from tidewheel.llm.packing import op2_packing
 from tidewheel.llm.quality import op1_quality
+from tidewheel.llm.repeats import op3_repeats
 from tidewheel.llm.token_counts import op6_token_counts
 from tidewheel.llm.toxicity import op10_toxicity
 
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_packing": op2_packing,
+    "op3_repeats": op3_repeats,
     "op4_neighbours": op4_neighbours,
     "op5_mixing": op5_mixing,
     "op6_token_counts": op6_token_counts,
