@@ -1,25 +1,64 @@
-"""Corpus pipeline: stages over `documents`, each written and read again."""
+"""Corpus pipeline: language, near-duplicates, repeats, mixture, sequences.
+
+Each stage takes the documents that the stage before kept and returns documents, the last one packed
+sequences. Rows are documents (doc_id, text, lang, source, n_chars); other columns do not travel.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tidewheel.llm.language import UNKNOWN, fit_language, identify
+from tidewheel.llm.mixing import mix
+from tidewheel.llm.near_duplicates import classes
 from tidewheel.llm.packing import gpt_bytes, pack
+from tidewheel.llm.repeats import remove_repeats
 from tidewheel.sources.shared import materialise
 from tidewheel.sources.tables import table
 
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: A language is rejected as a guess below this score; a machine that prefers one language gives more.
+GUESS = 0.5
+#: SQL has no string kernels, samplings or tokenizers; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is known. Null texts, texts without a letter and mere guesses go; empty input stays empty."""
+    found = identify(docs.select(*COLUMNS), fit_language(docs))
+    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= GUESS)).select(*COLUMNS)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of least id of each class of near-duplicates, one row of it. Of rows without id, one of each text."""
+    kept = classes(docs).where("class_id = doc_id").select("doc_id").distinct()
+    named = docs.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return named.unionByName(docs.where("doc_id IS NULL").dropDuplicates(["text"])).select(*COLUMNS)
+
+
+def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, their text without strings of 200 bytes that occur again anywhere; a text may become empty."""
+    kept = remove_repeats(docs, keep_text=True, carry=["lang", "source"])
+    return kept.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document at least once, those of small sources up to twice, by temperature."""
+    mixed, _ = mix(docs, max_repeats=2.0)
+    return mixed.select(*COLUMNS)
+
+
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of at most 1024 tokens."""
+    """Pieces of documents laid into sequences of at most 1024 tokens."""
     return pack(docs, gpt_bytes())
 
 
-STAGES = [("packing", packing)]
+STAGES = [("language ID", language), ("MinHash near-dedup", near_duplicates), ("suffix-array dedup", repeats), ("mixing sources", mixing), ("packing", packing)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of `sf_dir`, each but the last written to the shared folder and read again."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = materialise(stage(spark, docs, sf_dir), name.replace(" ", "-"))

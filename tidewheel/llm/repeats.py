@@ -24,8 +24,9 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
-from tidewheel.llm.membership import Filter, build
+from tidewheel.llm.membership import build
 from tidewheel.llm.near_duplicates import groups
 from tidewheel.llm.texts import STEP, _power, buffers, byte_slices, mix
 from tidewheel.sources.shared import materialise
@@ -235,19 +236,8 @@ def repeated_starts(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     return materialise(whole.unionByName(single).unionByName(part), "starts")
 
 
-def merge(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Maximal byte spans [from, to) that runs of starts cover."""
-    out: list[tuple[int, int]] = []
-    for a, b in sorted(runs):
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(out[-1][1], b + SPAN))
-        else:
-            out.append((a, b + SPAN))
-    return out
-
-
-def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", keep_text: bool = False) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of each row, with keep_text also h and the kept text.
+def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", keep_text: bool = False, carry: list[str] | None = None) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of each row, with keep_text also the kept text, then the carried columns.
 
     Every byte that a repeated string of SPAN bytes covers goes, in all its occurrences; matches stay
     within a row, and repeated rows are occurrences of their own. Null texts are empty, texts below
@@ -258,72 +248,74 @@ def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", ke
     starts = repeated_starts(df, doc_id, text)
     lowest = -(1 << 63)
 
-    def doc_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([signed(two(batch))], names=["key"])
-
-    def two(batch: pa.RecordBatch) -> np.ndarray:
+    def doc_key(batch: pa.RecordBatch) -> np.ndarray:
         k, h = (np.asarray(batch.column(i)).view(_U) for i in (0, 1))
         return mix(k * STEP ^ mix(h))
 
-    touched: Filter = build(starts.select("k", "h").distinct().mapInArrow(doc_key, "key long"))
-    shared = spark.sparkContext.broadcast(touched)
-    docs = df.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(lowest)).alias("k"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("h"), F.coalesce(text, F.lit("")).alias("t"))
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", h long, text string" if keep_text else "")
-    columns = [c.split()[0] for c in schema.split(", ")]
-    types = [pa.string() if c in ("kept_sha256", "text") else pa.int64() for c in columns]
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([signed(doc_key(batch))], names=["key"])
+
+    shared = spark.sparkContext.broadcast(build(starts.select("k", "h").distinct().mapInArrow(keys, "key long")))
+    carried = df.select(*[F.col(f"`{c}`") for c in carry or []]).schema.fields
+    docs = df.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(lowest)).alias("k"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("h"), F.coalesce(text, F.lit("")).alias("t"), *[F.col(f"`{f.name}`").alias(f"__{f.name}") for f in carried])
+    made = [StructField(c, LongType()) for c in ("doc_id", "n_bytes", "n_removed", "n_spans")] + [StructField(c, StringType()) for c in ["kept_sha256", "text"][: 1 + keep_text]]
+    extra = [StructField(f"__{f.name}", f.dataType) for f in carried]
+    names, types = [f.name for f in made], [pa.string() if f.dataType == StringType() else pa.int64() for f in made]
 
-    def row(k: int, h: int, data: bytes, spans: list[tuple[int, int]]) -> tuple:
+    def row(k: int, data: bytes, spans: list[tuple[int, int]]) -> tuple:
         pieces, at = [], 0
         for a, b in spans:
             pieces.append(data[at:a])
             at = b
         kept = b"".join([*pieces, data[at:]])
         out = (None if k == lowest else k, len(data), len(data) - len(kept), len(spans), hashlib.sha256(kept).hexdigest())
-        return (*out, h, kept.decode("utf-8", "ignore")) if keep_text else out
+        return (*out, kept.decode("utf-8", "ignore")) if keep_text else out
+
+    def columns(rows: list[tuple]) -> list[pa.Array]:
+        return [pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * len(types), types, strict=True)]
 
-    def sort_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Texts that nothing can touch are done here; the others move on, compressed."""
-        found, pack = shared.value, zstandard.ZstdCompressor(level=3, write_checksum=False).compress
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Texts that nothing can touch."""
         for batch in batches:
-            moves = found.might_hold(two(batch))
-            k, h = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            z = [pack(t.as_py().encode()) if m else None for t, m in zip(batch.column(2), moves, strict=True)]
-            done = [row(*x) if not m else (None,) * len(columns) for x, m in (((k[i], h[i], batch.column(2)[i].as_py().encode() if not m else b"", []), m) for i, m in enumerate(moves))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(z, pa.binary()), *[pa.array(c, t) for c, t in zip(zip(*done, strict=True), types, strict=True)]] if done else [], names=["k", "h2", "z", *columns]) if done else None
-
-    tagged = docs.mapInArrow(lambda it: (b for b in sort_out(x for x in it if x.num_rows) if b is not None), f"k long, h2 long, z binary, {schema}")
-    tagged = materialise(tagged, "sorted-out")
-    untouched = tagged.where("z IS NULL").select(*columns)
-    texts = tagged.where("z IS NOT NULL").select("k", F.col("h2").alias("h"), F.lit(1).cast("long").alias("tag"), F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"), "z")
-    runs = starts.select("k", "h", F.lit(0).cast("long").alias("tag"), "a", "b", F.lit(None).cast("binary").alias("z"))
-    met = texts.unionByName(runs).repartition("k", "h").sortWithinPartitions("k", "h", "tag", "a")
+            own = batch.filter(pa.array(~shared.value.might_hold(doc_key(batch))))
+            rows = [row(k, t.as_py().encode(), []) for k, t in zip(own.column(0).to_pylist(), own.column(2), strict=True)]
+            yield pa.RecordBatch.from_arrays([*columns(rows), *own.columns[3:]], names=names + own.schema.names[3:])
+
+    def moving(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The other texts, compressed for the way."""
+        pack = zstandard.ZstdCompressor(level=3, write_checksum=False).compress
+        for batch in batches:
+            own = batch.filter(pa.array(shared.value.might_hold(doc_key(batch))))
+            z = pa.array([pack(t.as_py().encode()) for t in own.column(2)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*own.columns[:2], z, *own.columns[3:]], names=["k", "h", "z", *own.schema.names[3:]])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         expand = zstandard.ZstdDecompressor().decompressobj
-        rows: list[tuple] = []
         at, spans = None, []
-
-        def out() -> pa.RecordBatch:
-            made = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=columns)
-            rows.clear()
-            return made
-
         for batch in batches:
-            for k, h, tag, a, b, z in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            rows, of = [], []
+            for i, (k, h, tag, a, b) in enumerate(zip(*[c.to_pylist() for c in batch.columns[:5]], strict=True)):
                 if (k, h) != at:
                     at, spans = (k, h), []
-                if not tag:
-                    if spans and a <= spans[-1][1]:
-                        spans[-1] = (spans[-1][0], max(spans[-1][1], b + SPAN))
-                    else:
-                        spans.append((a, b + SPAN))
+                if tag:
+                    rows.append(row(k, expand().decompress(batch.column(5)[i].as_py()), spans))
+                    of.append(i)
+                elif spans and a <= spans[-1][1]:
+                    spans[-1] = (spans[-1][0], max(spans[-1][1], b + SPAN))
                 else:
-                    rows.append(row(k, h, expand().decompress(z), spans))
-            if rows:
-                yield out()
-
-    return untouched.unionByName(met.mapInArrow(cut, schema))
+                    spans.append((a, b + SPAN))
+            yield pa.RecordBatch.from_arrays([*columns(rows), *batch.take(pa.array(of, pa.int64())).columns[6:]], names=names + batch.schema.names[6:])
+
+    out = StructType(made + extra)
+    still = docs.mapInArrow(whole, out)
+    texts = docs.mapInArrow(moving, StructType([StructField("k", LongType()), StructField("h", LongType()), StructField("z", BinaryType()), *extra]))
+    zero = F.lit(0).cast("long")
+    texts = texts.select("k", "h", F.lit(1).cast("long").alias("tag"), zero.alias("a"), zero.alias("b"), "z", *[f.name for f in extra])
+    runs = starts.select("k", "h", zero.alias("tag"), "a", "b", F.lit(None).cast("binary").alias("z"), *[F.lit(None).cast(f.dataType).alias(f.name) for f in extra])
+    met = texts.unionByName(runs).repartition("k", "h").sortWithinPartitions("k", "h", "tag", "a")
+    done = still.unionByName(met.mapInArrow(cut, out))
+    return done.toDF(*names, *[f.name for f in carried])
 
 
 def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
