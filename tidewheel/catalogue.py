@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewheel.functions import decoded_size, size_code
+from tidewheel import functions
 from tidewheel.operators import combining, integrity, ordering, partitioning
 from tidewheel.plans import fetching, flushing
 from tidewheel.sources.exchange import Exchange, register
@@ -247,9 +247,9 @@ def small_blocks(spark, sf_dir):
 
 @query(f"""WITH c AS (SELECT map_id, reduce_id, n_bytes, least(255, ceil(ln(n_bytes::DOUBLE) / ln(1.1::DOUBLE)))::BIGINT AS code FROM ({_BLOCKS}))
  SELECT *, floor(pow(1.1::DOUBLE, code::DOUBLE))::BIGINT AS decoded FROM c""")
-def size_codes(spark, sf_dir):
-    coded = blocks(spark, sf_dir).select("map_id", "reduce_id", "n_bytes", size_code(F.col("n_bytes")).alias("code"))
-    return coded.withColumn("decoded", decoded_size(F.col("code")))
+def size_code(spark, sf_dir):
+    coded = blocks(spark, sf_dir).select("map_id", "reduce_id", "n_bytes", functions.size_code(F.col("n_bytes")).alias("code"))
+    return coded.withColumn("decoded", functions.decoded_size(F.col("code")))
 
 
 @query(f"SELECT reduce_id, sum(n_records)::BIGINT AS records, sum(n_bytes)::BIGINT AS bytes, count(*) AS blocks FROM ({_BLOCKS}) GROUP BY 1")
