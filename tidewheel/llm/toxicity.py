@@ -91,7 +91,7 @@ class ToxicityModel:
     stems: list[str] = field(default_factory=list)
     alpha: np.ndarray | None = None
     bias: float = -1.0
-    coefficients: tuple[float, float, float] = (0.0, 0.0, 0.0)
+    coefficients: tuple[float, ...] = (0.0,) * 4
 
     def prepare(self) -> ToxicityModel:
         self.codes, self.sets = encode(self.stems)
@@ -129,7 +129,7 @@ class ToxicityModel:
         return out
 
     def values(self, texts: list[str]) -> np.ndarray:
-        """[document, (worst decision value, log of the number of words above 0)]."""
+        """[document, (worst decision value, log of the number of words above 0, log of their share)]."""
         split = [words_of(t) for t in texts]
         if len(self.memo) >= MEMO_ENTRIES:
             self.memo.clear()
@@ -138,15 +138,16 @@ class ToxicityModel:
         distinct = {w: i for i, w in enumerate(dict.fromkeys(plain))}
         decided = self.decide(list(distinct))
         self.memo.update((w, float(decided[distinct[p]])) for w, p in zip(missing, plain, strict=True))
-        out = np.zeros((len(texts), 2))
+        out = np.zeros((len(texts), 3))
         for i, words in enumerate(split):
             g = [self.memo[w] for w in words]
-            out[i] = max(g, default=self.bias), np.log1p(sum(x > 0 for x in g))
+            above = sum(x > 0 for x in g)
+            out[i] = max(g, default=self.bias), np.log1p(above), np.log1p(300 * above / (len(g) + 30))
         return out
 
     def scores(self, texts: list[str]) -> np.ndarray:
         w = np.array(self.coefficients)
-        return 1 / (1 + np.exp(-np.clip(np.clip(self.values(texts), -3, 3) @ w[:2] + w[2], -30, 30)))
+        return 1 / (1 + np.exp(-np.clip(np.clip(self.values(texts), -3, 9) @ w[:3] + w[3], -30, 30)))
 
     @staticmethod
     def choose_stems(toxic: list[set[str]], clean: list[set[str]], most: int = 48) -> list[str]:
@@ -160,7 +161,7 @@ class ToxicityModel:
                 count.update(beginnings(words))
         least = max(4, round(0.03 * len(toxic)))
         rate = len(toxic) / max(1, len(clean))
-        good = [s for s, n in yes.items() if n >= least and (no[s] + 0.5) * rate <= 0.04 * n + 0.5 and no[s] <= 0.05 * n]
+        good = [s for s, n in yes.items() if n >= least and (no[s] + 0.5) * rate <= 0.15 * n]
         out: list[str] = []
         for s in sorted(good, key=lambda s: (-yes[s], -len(s), s)):
             if len(out) < most and not any(s.startswith(o) or o.startswith(s) for o in out):
@@ -171,7 +172,7 @@ class ToxicityModel:
     def fit(texts: list[str], labels: np.ndarray, prior: float, ordinary: int = 4, rounds: int = 3) -> ToxicityModel:
         """Landmarks, machine and curve; every fourth document of a class is for the curve alone."""
         labels = np.asarray(labels)
-        fallback = ToxicityModel(coefficients=(0.0, 0.0, float(np.log((prior + 1e-3) / (1 - prior + 1e-3))))).prepare()
+        fallback = ToxicityModel(coefficients=(0.0, 0.0, 0.0, float(np.log((prior + 1e-3) / (1 - prior + 1e-3))))).prepare()
         if not len(labels) or labels.min() == labels.max():
             return fallback
         turn = np.zeros(len(labels), int)
@@ -228,8 +229,8 @@ class ToxicityModel:
         rest = np.flatnonzero(turn == 3) if (turn == 3).any() else np.arange(len(labels))
         y = labels[rest].astype(float)
         weight = np.where(y == 1, prior / max(1, (y == 1).sum()), (1 - prior) / max(1, (y == 0).sum())) * len(y)
-        values = np.concatenate([model.values(texts[i : i + 1]) for i in rest]) if len(rest) else np.zeros((0, 2))
-        model.coefficients = tuple(fit_logistic(np.clip(values, -3, 3), y, weight, ridge=0.05))
+        values = np.concatenate([model.values(texts[i : i + 1]) for i in rest]) if len(rest) else np.zeros((0, 3))
+        model.coefficients = tuple(fit_logistic(np.clip(values, -3, 9), y, weight, ridge=0.05))
         return model
 
 
