@@ -8,9 +8,10 @@ string of a special token, goes to the `tokenizers` library itself.
 from __future__ import annotations
 
 import base64
+import json
 import os
 import re
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 
@@ -21,11 +22,9 @@ class ByteBpe:
     """encode(text) -> little-endian unsigned 32-bit ids as bytes."""
 
     def __init__(self, json_path: str, ranks_path: str | None = None, pattern: str | None = None):
-        from tokenizers import Tokenizer
-
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        self.exact = Tokenizer.from_file(json_path)
-        self.specials = [t.content for t in self.exact.get_added_tokens_decoder().values()]
+        with open(json_path, encoding="utf-8") as described:
+            self.specials = [t["content"] for t in json.load(described).get("added_tokens", [])]
+        self.json_path = json_path
         self.fast = None
         if ranks_path and pattern:
             import tiktoken
@@ -34,6 +33,13 @@ class ByteBpe:
                 ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
             self.fast = tiktoken.Encoding("same-vocabulary", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
+    @cached_property
+    def exact(self):
+        from tokenizers import Tokenizer
+
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        return Tokenizer.from_file(self.json_path)
+
     def encode(self, text: str) -> bytes:
         if self.fast is None or not text.isascii() and UNSETTLED.search(text) or any(s in text for s in self.specials):
             return np.array(self.exact.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()

@@ -133,7 +133,7 @@ def fingerprint_with_next(df: DataFrame, doc_id: str = "doc_id", text: str = "te
             yield pa.RecordBatch.from_arrays([pa.array(where), pa.array(tails), pa.array(k[rows]), pa.array(tie[rows]), pa.array([z[i] for i in rows], pa.binary())], names=["b", "tail", "k", "tie", "z"])
 
     dealt = ids.select("k", "t", F.xxhash64("t").alias("tie")).mapInArrow(deal, "b long, tail int, k long, tie long, z binary")
-    placed = dealt.repartition(n, "b").sortWithinPartitions("b", "tail", F.desc("k"), "tie")
+    placed = dealt.repartitionById(n, F.col("b").cast("int")).sortWithinPartitions("b", "tail", F.desc("k"), "tie")
 
     def compute(chain: list[tuple[int, str]]) -> pa.RecordBatch:
         """Rows of all documents of the chain but its last, which is the next of the one before."""

@@ -14,11 +14,12 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from tidewheel.llm.arrow import held_out, map_columns
+from tidewheel.llm.sampling import first_by_hash
 from tidewheel.llm.texts import buffers, byte_slices
 from tidewheel.sources.tables import table
 
@@ -164,12 +165,11 @@ def fit_language(docs: DataFrame, per_lang: int = 300, modulus: int = 3, rest: i
 
     The sample is bounded by per_lang for each language; its rows are found by ids alone, then fetched.
     """
-    w = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     usable = docs.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id"), modulus, rest))
-    ids = usable.where(F.col("doc_id").isNotNull()).select("doc_id", "lang").withColumn("k", F.row_number().over(w)).where(F.col("k") <= per_lang)
+    ids = first_by_hash(usable.where(F.col("doc_id").isNotNull()).select("doc_id", "lang"), "lang", per_lang)
     chosen = [r["doc_id"] for r in ids.select("doc_id").collect()]  # per_lang rows for each language
     few = usable.where(F.col("text").isNotNull()).join(F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in set(chosen)], "doc_id long")), "doc_id", "left_semi")
-    rows = few.select("doc_id", "lang", "text").withColumn("k", F.row_number().over(w)).where(F.col("k") <= per_lang).orderBy("lang", "k").collect()
+    rows = first_by_hash(few.select("doc_id", "lang", "text"), "lang", per_lang).orderBy("lang", "k").collect()
     return LanguageModel.fit([r["text"] for r in rows], [r["lang"] for r in rows])
 
 

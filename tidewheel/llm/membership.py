@@ -56,7 +56,7 @@ def build(keys: DataFrame) -> Filter:
         yield pa.RecordBatch.from_arrays([pa.array(list(segments), pa.int32()), pa.array(packed, pa.binary())], names=["segment", "bits"])
 
     column = keys.columns[0]
-    dealt = keys.select(column).repartition(SEGMENTS, F.shiftrightunsigned(column, 58))
+    dealt = keys.select(column).repartition(F.shiftrightunsigned(column, 58))
     words = np.zeros(bits // 64, np.uint64)
     for r in dealt.mapInArrow(fill, "segment int, bits binary").collect():
         at = r["segment"] * size // 64

@@ -8,7 +8,8 @@ Texts that agree on a whole band are candidates, and the exact weighted similari
 Candidates of a band key are never paired with each other at large. A round compares the members of a
 key with a few pivots. A member within reach of a pivot is linked to it; as 1 - similarity is a
 metric, it can be left aside once it is closer to that pivot than any unlinked member could bridge.
-The rest goes into the next round, until nobody is left, so no link between two members is lost.
+Rounds go on until each key is one component or all its members were pivots, so no link that would
+connect anything more is lost.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewheel.llm.components import components
+from tidewheel.llm.membership import build
 from tidewheel.llm.texts import STEP, buffers, byte_slices, mix, shingles, words
 from tidewheel.sources.shared import materialise
 from tidewheel.sources.tables import table
@@ -63,10 +65,16 @@ def document_frequencies(texts: DataFrame) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(1 << TABLE_BITS, np.int64)
+        held, size = [], 0
         for batch in batches:
             for begin, end in byte_slices(batch.column(0)):
-                found, _, _ = weighed(*buffers(batch.column(0).slice(begin, end - begin)))
-                seen += np.bincount(bucket(found), minlength=len(seen))
+                held.append(bucket(weighed(*buffers(batch.column(0).slice(begin, end - begin)))[0]))
+                size += len(held[-1])
+                if size > len(seen):
+                    seen += np.bincount(np.concatenate(held), minlength=len(seen))
+                    held, size = [], 0
+        if held:
+            seen += np.bincount(np.concatenate(held), minlength=len(seen))
         if seen.any():
             squeeze = zstandard.ZstdCompressor(level=1).compress
             yield pa.RecordBatch.from_arrays([pa.array(range(CHUNKS), pa.int32()), pa.array([squeeze(x.tobytes()) for x in np.split(seen, CHUNKS)], pa.binary())], names=["chunk", "z"])
@@ -168,19 +176,21 @@ def groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.RecordBa
 
 
 def links(active: DataFrame, texts: DataFrame, idf) -> DataFrame:
-    """Links (a, b) that connect all similar members of each key: (key, id) rows, (id, z) compressed texts."""
+    """Links (a, b) that connect all similar members of each key: (key, id) rows, (id, z) compressed texts.
+
+    Keys of few members are compared at once, all members being pivots. A larger key starts with one
+    pivot. From then on only members outside the component that most of the key belongs to can still
+    add a connection, so they are the pivots that all others are compared with, PIVOTS at a time.
+    """
+    sizes = active.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("low"))
+    sized = active.join(sizes, "key")
+    state = sized.select("key", "id", "n", ((F.col("n") <= PIVOTS) | (F.col("id") == F.col("low"))).alias("pivot"), (F.col("n") > PIVOTS).alias("more"))
     found: DataFrame | None = None
-    first = True
     while True:
-        sizes = active.groupBy("key").agg(F.count("*").alias("n"))
-        pivots = F.when(F.col("n") > PIVOTS, F.lit(1 if first else PIVOTS)).otherwise(F.col("n"))
-        sized = active.join(sizes, "key").withColumn("pivots", pivots)
-        order = Window.partitionBy("key").orderBy("id")
-        chosen = sized.withColumn("k", F.row_number().over(order)).where(F.col("k") <= PIVOTS).where("k <= pivots").drop("k")
         parts = F.ceil(F.col("n") / MEMBERS)
-        rows = chosen.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).withColumn("tag", F.lit(0).cast("long"))
-        others = sized.where(F.col("n") > F.col("pivots")).withColumn("part", F.pmod(F.xxhash64("id"), parts)).withColumn("tag", F.lit(1).cast("long"))
-        placed = rows.unionByName(others).select("key", "part", "tag", "id").join(texts, "id").select("key", "part", "tag", "id", "z")
+        chosen = state.where("pivot").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).withColumn("tag", F.lit(0).cast("long"))
+        others = state.where("NOT pivot").withColumn("part", F.pmod(F.xxhash64("id"), parts)).withColumn("tag", F.when(F.col("more"), 1).otherwise(2).cast("long"))
+        placed = chosen.unionByName(others).select("key", "part", "tag", "id").join(texts, "id").select("key", "part", "tag", "id", "z")
         placed = placed.repartition("key", "part").sortWithinPartitions("key", "part", "tag", "id")
 
         def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,11 +217,8 @@ def links(active: DataFrame, texts: DataFrame, idf) -> DataFrame:
                             root[max(a, b)] = min(a, b)
                             out.append((key, 0, pivot_ids[i], pivot_ids[j], 0.0))
                 far = [1.0] * n
-                position = {x: i for i, x in enumerate(pivot_ids)}
                 for i in range(n, len(ids)):
                     x = int(ids[i])
-                    if x in position:
-                        continue
                     own = vectors([expand().decompress(z[i].as_py()).decode()], table)[0]
                     nearest, distance, joined = None, 2.0, set()
                     for j in range(n):
@@ -224,7 +231,8 @@ def links(active: DataFrame, texts: DataFrame, idf) -> DataFrame:
                                 nearest, distance = pivot_ids[j], d
                         else:
                             far[j] = min(far[j], d)
-                    out.append((key, 2, x, nearest, distance))
+                    if tag[i] == 1:
+                        out.append((key, 2, x, nearest, distance))
                 if n < len(ids):
                     out += [(key, 1, None, p, f) for p, f in zip(pivot_ids, far, strict=True)]
                 if out:
@@ -239,7 +247,14 @@ def links(active: DataFrame, texts: DataFrame, idf) -> DataFrame:
         active = materialise(left, "active")
         if active.isEmpty():
             return found.distinct()
-        first = False
+        labelled = active.join(components(found), F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("root", "id").alias("label"))
+        labelled = materialise(labelled, "labelled")
+        crowds = labelled.groupBy("key", "label").agg(F.count("*").alias("c"))
+        keys = crowds.groupBy("key").agg(F.sum("c").alias("n"), F.count("*").alias("labels"), F.max("c").alias("most"), F.max_by("label", F.struct("c", "label")).alias("mode")).where("labels > 1")
+        apart = labelled.join(keys, "key").select("key", "id", "n", (F.col("label") != F.col("mode")).alias("apart"), (F.col("n") - F.col("most") > PIVOTS).alias("more"))
+        order = Window.partitionBy("key").orderBy("id")
+        chosen = apart.where("apart").withColumn("k", F.row_number().over(order)).where(F.col("k") <= PIVOTS).select("key", "id", F.lit(True).alias("pivot"))
+        state = materialise(apart.join(chosen, ["key", "id"], "left").select("key", "id", "n", F.coalesce("pivot", F.lit(False)).alias("pivot"), "more"), "round")
 
 
 def classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -281,14 +296,24 @@ def classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     once = shared.groupBy("n", "low", "x", "s").agg(F.min("key").alias("key")).select("key")  # keys with the same members count once
     active = materialise(banded.join(once, "key"), "candidates")
 
+    def id_key(column: pa.Array) -> np.ndarray:
+        return mix(np.asarray(column).view(np.uint64) * STEP)
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(id_key(batch.column(0)).view(np.int64))], names=["key"])
+
+    needed = active.select("id").distinct()
+    shared_filter = spark.sparkContext.broadcast(build(needed.mapInArrow(keys, "key long")))  # 32 MB at most
+
     def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=3, write_checksum=False).compress
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([pack(t.encode()) for t in batch.column(1).to_pylist()], pa.binary())], names=["id", "z"])
+            own = batch.filter(pa.array(shared_filter.value.might_hold(id_key(batch.column(0)))))
+            yield pa.RecordBatch.from_arrays([own.column(0), pa.array([pack(t.as_py().encode()) for t in own.column(1)], pa.binary())], names=["id", "z"])
 
-    needed = active.select("id").distinct().join(distinct.select("id", "h"), "id")
     texts = docs.where("id IS NOT NULL").select("id", "t").mapInArrow(squeeze, "id long, z binary")
-    texts = texts.join(needed.select("id"), "id", "left_semi").groupBy("id").agg(F.min("z").alias("z"))
+    texts = texts.join(needed, "id", "left_semi").groupBy("id").agg(F.min("z").alias("z"))
     texts = materialise(texts, "texts")
     roots = components(links(active, texts, idf))
     named = distinct.select("h", F.col("id").alias("text_id")).join(roots, F.col("text_id") == F.col("node"), "left")

@@ -13,11 +13,12 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tidewheel.llm.arrow import held_out, map_columns, slices
+from tidewheel.llm.sampling import first_by_hash
 from tidewheel.sources.tables import table
 
 WINDOW = 4096
@@ -109,8 +110,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     spark = docs.sparkSession
     usable = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), modulus, rest)).select("doc_id", F.col(label).cast("int").alias("y"))
     counts = {r["y"]: r["n"] for r in usable.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    w = Window.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = {r["doc_id"]: r["y"] for r in usable.withColumn("k", F.row_number().over(w)).where(F.col("k") <= per_class).collect()}
+    chosen = {r["doc_id"]: r["y"] for r in first_by_hash(usable, "y", per_class).collect()}
     ids = spark.createDataFrame([(i,) for i in chosen], "doc_id long")
     rows = docs.join(F.broadcast(ids), "doc_id", "left_semi").where(F.col("text").isNotNull()).groupBy("doc_id").agg(F.min("text").alias("text")).orderBy(F.xxhash64("doc_id"), "doc_id").collect()
     y = np.array([chosen[r["doc_id"]] for r in rows], dtype=int)

@@ -34,7 +34,7 @@ def buffers(column: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarr
     return found, at - at[0]
 
 
-def byte_slices(column: pa.Array, size: int = 1 << 21) -> Iterator[tuple[int, int]]:
+def byte_slices(column: pa.Array, size: int = 1 << 19) -> Iterator[tuple[int, int]]:
     """Ranges of rows that hold about `size` bytes at most, one row at least."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     begin = 0
@@ -57,7 +57,7 @@ _powers: dict[str, np.ndarray] = {}
 def _power(base: int, n: int) -> np.ndarray:
     key = str(base)
     if key not in _powers or len(_powers[key]) < n:
-        size = max(n, 1 << 21)
+        size = max(n, 1 << 19)
         steps = np.full(size, base, dtype=U64)
         steps[0] = 1
         _powers[key] = np.multiply.accumulate(steps)
