@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -33,8 +34,10 @@ SIMILAR = 0.8
 BANDS, ROWS = 16, 4
 TABLE_BITS = 20
 CHUNKS = 64
-PIVOTS = 64
-MEMBERS = 512
+LINKED = SIMILAR - 1e-12
+PIVOTS = 1024
+PIVOT_BYTES = 16 << 20
+MEMBERS = 1024
 
 _rng = np.random.default_rng(17)
 _SEEDS = mix(_rng.integers(0, 1 << 63, BANDS * ROWS).astype(np.uint64) * STEP)
@@ -175,33 +178,68 @@ def groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.RecordBa
         yield pa.concat_batches(held)
 
 
+class Pivots:
+    """Vectors by shingle, so that one look-up compares a vector with all of them."""
+
+    def __init__(self, own: list[Vector]):
+        found = np.concatenate([v[0] for v in own]) if own else np.zeros(0, np.uint64)
+        order = np.argsort(found, kind="stable")
+        self.names, first = np.unique(found[order], return_index=True)
+        self.at = np.append(first, len(found))
+        self.of = np.repeat(np.arange(len(own)), [len(v[0]) for v in own])[order]
+        self.weights = np.concatenate([v[1] for v in own])[order] if own else np.zeros(0)
+        self.totals = np.array([v[2] for v in own])
+
+    def similarity(self, v: Vector) -> np.ndarray:
+        """Weighted Jaccard similarity of `v` to each pivot."""
+        if not len(self.names):
+            return np.zeros(len(self.totals))
+        at = np.minimum(np.searchsorted(self.names, v[0]), len(self.names) - 1)
+        same = self.names[at] == v[0]
+        at, w = at[same], v[1][same]
+        n = self.at[at + 1] - self.at[at]
+        rows = np.repeat(self.at[at] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        both = np.bincount(self.of[rows], np.minimum(self.weights[rows], np.repeat(w, n)), len(self.totals))
+        either = self.totals + v[2] - both
+        return np.divide(both, either, out=np.zeros(len(both)), where=either > 0)
+
+
 def links(active: DataFrame, texts: DataFrame, idf) -> DataFrame:
-    """Links (a, b) that connect all similar members of each key: (key, id) rows, (id, z) compressed texts.
+    """Links (a, b) that connect all similar members of each key: (key, id, size) rows, (id, z) compressed texts.
 
     Keys of few members are compared at once, all members being pivots. A larger key starts with one
     pivot. From then on only members outside the component that most of the key belongs to can still
-    add a connection, so they are the pivots that all others are compared with, PIVOTS at a time.
+    add a connection, so they are the pivots that all others are compared with, PIVOTS at a time and
+    PIVOT_BYTES of text, one pivot at least.
     """
-    sizes = active.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("low"))
-    sized = active.join(sizes, "key")
-    state = sized.select("key", "id", "n", ((F.col("n") <= PIVOTS) | (F.col("id") == F.col("low"))).alias("pivot"), (F.col("n") > PIVOTS).alias("more"))
+    sizes = active.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("low"), F.sum("size").alias("bytes"))
+    few = (F.col("n") <= PIVOTS) & (F.col("bytes") <= PIVOT_BYTES)
+    state = active.join(sizes, "key").select("key", "id", "size", "n", (few | (F.col("id") == F.col("low"))).alias("pivot"), (~few).alias("more"))
     found: DataFrame | None = None
     while True:
         parts = F.ceil(F.col("n") / MEMBERS)
         chosen = state.where("pivot").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).withColumn("tag", F.lit(0).cast("long"))
         others = state.where("NOT pivot").withColumn("part", F.pmod(F.xxhash64("id"), parts)).withColumn("tag", F.when(F.col("more"), 1).otherwise(2).cast("long"))
-        placed = chosen.unionByName(others).select("key", "part", "tag", "id").join(texts, "id").select("key", "part", "tag", "id", "z")
+        placed = chosen.unionByName(others).select("key", "part", "tag", "id", "size").join(texts, "id").select("key", "part", "tag", "id", "size", "z")
         placed = placed.repartition("key", "part").sortWithinPartitions("key", "part", "tag", "id")
 
         def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             expand, table = zstandard.ZstdDecompressor().decompressobj, idf.value
+
+            def read(z: pa.Array, size: np.ndarray, begin: int, end: int) -> Iterator[Vector]:
+                while begin < end:
+                    upto = begin + max(1, int(np.searchsorted(np.cumsum(size[begin:end]), 1 << 19, "right")))
+                    yield from vectors([expand().decompress(z[i].as_py()).decode() for i in range(begin, upto)], table)
+                    begin = upto
+
             for run in groups(batches, 2):
                 key, part = run.column(0)[0].as_py(), run.column(1)[0].as_py()
-                tag, ids, z = (np.asarray(run.column(2)), np.asarray(run.column(3)), run.column(4))
+                tag, ids, size, z = (np.asarray(run.column(2)), np.asarray(run.column(3)), np.asarray(run.column(4)), run.column(5))
                 n = int((tag == 0).sum())
                 pivot_ids = ids[:n].tolist()
-                pivot = vectors([expand().decompress(z[i].as_py()).decode() for i in range(n)], table)
-                root = {x: x for x in pivot_ids}
+                own = list(read(z, size, 0, n))
+                pivots = Pivots(own)
+                root = list(range(n))
 
                 def find(x: int) -> int:
                     while root[x] != x:
@@ -209,52 +247,51 @@ def links(active: DataFrame, texts: DataFrame, idf) -> DataFrame:
                         x = root[x]
                     return x
 
-                out: list[tuple] = []  # kind 0: link (a, b); 1: member a far from b, distance; 2: member a, nearest near pivot b
+                out: list[tuple] = []  # kind 0: link (a, b); 1: nearest unlinked member of pivot b, at distance d; 2: member a, nearest near pivot b
                 for i in range(n) if not part else ():
-                    for j in range(i):
-                        a, b = find(pivot_ids[i]), find(pivot_ids[j])
-                        if a != b and weighted_jaccard(pivot[i], pivot[j]) >= SIMILAR:
+                    for j in np.flatnonzero(pivots.similarity(own[i])[:i] >= LINKED).tolist():
+                        a, b = find(i), find(j)
+                        if a != b:
                             root[max(a, b)] = min(a, b)
-                            out.append((key, 0, pivot_ids[i], pivot_ids[j], 0.0))
-                far = [1.0] * n
-                for i in range(n, len(ids)):
-                    x = int(ids[i])
-                    own = vectors([expand().decompress(z[i].as_py()).decode()], table)[0]
-                    nearest, distance, joined = None, 2.0, set()
-                    for j in range(n):
-                        d = 1 - weighted_jaccard(pivot[j], own)
-                        if d <= 1 - SIMILAR + 1e-12:
-                            if (r := find(pivot_ids[j])) not in joined:
-                                joined.add(r)
-                                out.append((key, 0, x, pivot_ids[j], d))
-                            if d < distance:
-                                nearest, distance = pivot_ids[j], d
-                        else:
-                            far[j] = min(far[j], d)
+                            out.append((key, 0, pivot_ids[i], pivot_ids[j], 0, 0.0))
+                far = np.ones(n)
+                for i, vector in enumerate(read(z, size, n, len(ids)), n):
+                    like = pivots.similarity(vector)
+                    near = like >= LINKED
+                    far = np.where(near, far, np.minimum(far, 1 - like))
+                    x, joined = int(ids[i]), {}
+                    for j in np.flatnonzero(near).tolist():
+                        joined.setdefault(find(j), j)
+                    out += [(key, 0, x, pivot_ids[j], 0, 0.0) for j in joined.values()]
                     if tag[i] == 1:
-                        out.append((key, 2, x, nearest, distance))
+                        best = int(np.argmax(like))
+                        out.append((key, 2, x, pivot_ids[best] if near[best] else None, int(size[i]), float(1 - like[best])))
                 if n < len(ids):
-                    out += [(key, 1, None, p, f) for p, f in zip(pivot_ids, far, strict=True)]
+                    out += [(key, 1, None, p, 0, f) for p, f in zip(pivot_ids, far.tolist(), strict=True)]
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["key", "kind", "a", "b", "d"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (*[pa.int64()] * 5, pa.float64()), strict=True)], names=["key", "kind", "a", "b", "size", "d"])
 
-        seen = materialise(placed.mapInArrow(compare, "key long, kind long, a long, b long, d double"), "links")
+        seen = materialise(placed.mapInArrow(compare, "key long, kind long, a long, b long, size long, d double"), "links")
         linked = seen.where("kind = 0").select("a", "b")
         found = linked if found is None else found.unionByName(linked)
         gap = seen.where("kind = 1").groupBy("key", "b").agg(F.min("d").alias("far"))
         bridge = F.col("far") - (1 - SIMILAR) - 1e-9
-        left = seen.where("kind = 2").join(gap, ["key", "b"], "left").where(F.col("b").isNull() | (F.col("d") >= bridge)).select("key", F.col("a").alias("id"))
+        left = seen.where("kind = 2").join(gap, ["key", "b"], "left").where(F.col("b").isNull() | (F.col("d") >= bridge)).select("key", F.col("a").alias("id"), "size")
         active = materialise(left, "active")
         if active.isEmpty():
             return found.distinct()
-        labelled = active.join(components(found), F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("root", "id").alias("label"))
+        labelled = active.join(components(found), F.col("id") == F.col("node"), "left").select("key", "id", "size", F.coalesce("root", "id").alias("label"))
         labelled = materialise(labelled, "labelled")
-        crowds = labelled.groupBy("key", "label").agg(F.count("*").alias("c"))
-        keys = crowds.groupBy("key").agg(F.sum("c").alias("n"), F.count("*").alias("labels"), F.max("c").alias("most"), F.max_by("label", F.struct("c", "label")).alias("mode")).where("labels > 1")
-        apart = labelled.join(keys, "key").select("key", "id", "n", (F.col("label") != F.col("mode")).alias("apart"), (F.col("n") - F.col("most") > PIVOTS).alias("more"))
+        crowds = labelled.groupBy("key", "label").agg(F.count("*").alias("c"), F.sum("size").alias("s"))
+        most = F.max(F.struct("c", "label", "s")).alias("most")
+        keys = crowds.groupBy("key").agg(F.sum("c").alias("n"), F.sum("s").alias("bytes"), F.count("*").alias("labels"), most).where("labels > 1")
+        more = (F.col("n") - F.col("most.c") > PIVOTS) | (F.col("bytes") - F.col("most.s") > PIVOT_BYTES)
+        apart = labelled.join(keys, "key").select("key", "id", "size", "n", (F.col("label") != F.col("most.label")).alias("apart"), more.alias("more"))
         order = Window.partitionBy("key").orderBy("id")
-        chosen = apart.where("apart").withColumn("k", F.row_number().over(order)).where(F.col("k") <= PIVOTS).select("key", "id", F.lit(True).alias("pivot"))
-        state = materialise(apart.join(chosen, ["key", "id"], "left").select("key", "id", "n", F.coalesce("pivot", F.lit(False)).alias("pivot"), "more"), "round")
+        first = apart.where("apart").withColumn("k", F.row_number().over(order)).where(F.col("k") <= PIVOTS)
+        first = first.withColumn("upto", F.sum("size").over(order)).where((F.col("k") == 1) | (F.col("upto") <= PIVOT_BYTES))
+        chosen = first.select("key", "id", F.lit(True).alias("pivot"))
+        state = materialise(apart.join(chosen, ["key", "id"], "left").select("key", "id", "size", "n", F.coalesce("pivot", F.lit(False)).alias("pivot"), "more"), "round")
 
 
 def classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -279,19 +316,21 @@ def classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
                 found, of, times = weighed(part, at)
                 keys += band_keys(found, of, weights_of(found, times, table), end - begin)
             packed = [None if k is None else k.tobytes() for k in keys]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary())], names=["id", "h", "bands"])
+            size = pc.binary_length(batch.column(2)).cast(pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), size, pa.array(packed, pa.binary())], names=["id", "h", "size", "bands"])
 
-    signed = docs.select("id", F.unhex(F.md5("t")).alias("h"), "t").mapInArrow(sign, "id long, h binary, bands binary")
+    signed = docs.select("id", F.unhex(F.md5("t")).alias("h"), "t").mapInArrow(sign, "id long, h binary, size long, bands binary")
     signed = materialise(signed, "signatures")
-    distinct = materialise(signed.groupBy("h").agg(F.min("id").alias("id"), F.first("bands").alias("bands")), "distinct")  # equal texts have equal bands
+    distinct = materialise(signed.groupBy("h").agg(F.min("id").alias("id"), F.first("size").alias("size"), F.first("bands").alias("bands")), "distinct")  # equal texts have equal bands
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         salt = mix(np.arange(BANDS, dtype=np.uint64) * STEP)
         for batch in batches:
-            keys = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint64).reshape(-1, BANDS) ^ salt
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), batch.column(0).take(pa.array(np.repeat(np.arange(len(keys)), BANDS)))], names=["key", "id"])
+            keys = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint64).reshape(-1, BANDS) ^ salt
+            where = pa.array(np.repeat(np.arange(len(keys)), BANDS))
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), batch.column(0).take(where), batch.column(1).take(where)], names=["key", "id", "size"])
 
-    banded = distinct.where("bands IS NOT NULL AND id IS NOT NULL").select("id", "bands").mapInArrow(spread, "key long, id long")
+    banded = distinct.where("bands IS NOT NULL AND id IS NOT NULL").select("id", "size", "bands").mapInArrow(spread, "key long, id long, size long")
     shared = banded.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("low"), F.bit_xor(F.xxhash64("id")).alias("x"), F.sum(F.shiftright(F.xxhash64("id"), 24)).alias("s")).where("n > 1")
     once = shared.groupBy("n", "low", "x", "s").agg(F.min("key").alias("key")).select("key")  # keys with the same members count once
     active = materialise(banded.join(once, "key"), "candidates")
