@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -10,6 +11,31 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
+#: Of one Arrow batch, in the JVM and in Python; one row may be more.
+BATCH_BYTES = 2 << 20
+
+
+def give_back() -> None:
+    """Returns freed memory to the system, as workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType | str) -> DataFrame:
+    """mapInArrow with batches of BATCH_BYTES, unless the session says otherwise."""
+    conf = df.sparkSession.conf
+    if conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return df.mapInArrow(tidy, schema)
+
 
 def map_columns(df: DataFrame, keep: list[str], inputs: dict[str, Column], add: StructType, make: Callable) -> DataFrame:
     """`keep` columns of `df` plus the columns of `add`, which Python computes batch by batch.
@@ -32,7 +58,7 @@ def map_columns(df: DataFrame, keep: list[str], inputs: dict[str, Column], add:
                 made = compute(*[batch.column(n_keep + i) for i in range(n_in)])
                 yield pa.RecordBatch.from_arrays([*batch.columns[:n_keep], *made], names=out_names)
 
-    return source.mapInArrow(run, schema)
+    return map_batches(source, run, schema)
 
 
 def slices(column: pa.Array, size: int = 1 << 20, most: int = 512) -> Iterator[list[str]]:

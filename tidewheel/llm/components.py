@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewheel.llm.arrow import map_batches
 from tidewheel.sources.shared import materialise
 
 #: Nodes that a task joins at once before it passes them on.
@@ -53,7 +54,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     folder. Nodes without links, null ends and loops are left out. The number of rounds grows with
     the logarithm of the largest component.
     """
-    stars = edges.where("a <> b").select(F.col("a").cast("long"), F.col("b").cast("long")).mapInArrow(contract, "a long, b long")
+    stars = edges.where("a <> b").select(F.col("a").cast("long"), F.col("b").cast("long")).transform(map_batches, contract, "a long, b long")
     e = materialise(stars.distinct(), "edges")
     for _ in range(most_rounds):
         if settled(e):

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
+from tidewheel.llm.arrow import map_batches
 from tidewheel.llm.texts import buffers, shingles, words
 from tidewheel.sources.tables import table
 
@@ -114,7 +115,7 @@ def fingerprint_with_next(df: DataFrame, doc_id: str = "doc_id", text: str = "te
             yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in found], pa.int64()), pa.array([x for _, x in found], pa.int64())], names=["b", "first"])
 
     # one row for each range, of which there are as many as shuffle partitions
-    first = {r["b"]: r["first"] for r in ids.select("k").mapInArrow(firsts, "b long, first long").groupBy("b").agg(F.max("first").alias("first")).collect()}
+    first = {r["b"]: r["first"] for r in ids.select("k").transform(map_batches, firsts, "b long, first long").groupBy("b").agg(F.max("first").alias("first")).collect()}
     order = sorted(first)
     tail_of = {first[b]: order[(i + 1) % len(order)] for i, b in enumerate(order)}  # a range's first follows the range above
 
@@ -132,7 +133,7 @@ def fingerprint_with_next(df: DataFrame, doc_id: str = "doc_id", text: str = "te
             tie = np.asarray(batch.column(2))
             yield pa.RecordBatch.from_arrays([pa.array(where), pa.array(tails), pa.array(k[rows]), pa.array(tie[rows]), pa.array([z[i] for i in rows], pa.binary())], names=["b", "tail", "k", "tie", "z"])
 
-    dealt = ids.select("k", "t", F.xxhash64("t").alias("tie")).mapInArrow(deal, "b long, tail int, k long, tie long, z binary")
+    dealt = ids.select("k", "t", F.xxhash64("t").alias("tie")).transform(map_batches, deal, "b long, tail int, k long, tie long, z binary")
     placed = dealt.repartitionById(n, F.col("b").cast("int")).sortWithinPartitions("b", "tail", F.desc("k"), "tie")
 
     def compute(chain: list[tuple[int, str]]) -> pa.RecordBatch:
@@ -163,7 +164,7 @@ def fingerprint_with_next(df: DataFrame, doc_id: str = "doc_id", text: str = "te
                     chain, closed = chain[-1:], bool(tail)
                     size = len(chain[0][1])
 
-    return placed.mapInArrow(run, SCHEMA)
+    return placed.transform(map_batches, run, SCHEMA)
 
 
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

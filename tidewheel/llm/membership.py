@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewheel.llm.arrow import map_batches
 from tidewheel.llm.texts import STEP, mix
 
 SEGMENTS = 64
@@ -58,7 +59,7 @@ def build(keys: DataFrame) -> Filter:
     column = keys.columns[0]
     dealt = keys.select(column).repartition(F.shiftrightunsigned(column, 58))
     words = np.zeros(bits // 64, np.uint64)
-    for r in dealt.mapInArrow(fill, "segment int, bits binary").collect():
+    for r in dealt.transform(map_batches, fill, "segment int, bits binary").collect():
         at = r["segment"] * size // 64
         words[at : at + size // 64] |= np.frombuffer(r["bits"], np.uint64)
     return Filter(words)

@@ -23,6 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidewheel.llm.arrow import map_batches
 from tidewheel.llm.components import components
 from tidewheel.llm.membership import build
 from tidewheel.llm.texts import STEP, buffers, byte_slices, mix, shingles, words
@@ -91,7 +92,7 @@ def document_frequencies(texts: DataFrame) -> np.ndarray:
                 sums[chunk] = sums[chunk] + x if chunk in sums else x
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["chunk", "z"])
 
-    parts = texts.mapInArrow(count, "chunk int, z binary").repartition("chunk").mapInArrow(add, "chunk int, z binary").collect()  # the table, once
+    parts = texts.transform(map_batches, count, "chunk int, z binary").repartition("chunk").transform(map_batches, add, "chunk int, z binary").collect()  # the table, once
     out = np.zeros((CHUNKS, (1 << TABLE_BITS) // CHUNKS), np.int64)
     for r in parts:
         out[r["chunk"]] = np.frombuffer(r["z"], np.int64)
@@ -271,7 +272,7 @@ def links(active: DataFrame, texts: DataFrame, idf) -> DataFrame:
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (*[pa.int64()] * 5, pa.float64()), strict=True)], names=["key", "kind", "a", "b", "size", "d"])
 
-        seen = materialise(placed.mapInArrow(compare, "key long, kind long, a long, b long, size long, d double"), "links")
+        seen = materialise(placed.transform(map_batches, compare, "key long, kind long, a long, b long, size long, d double"), "links")
         linked = seen.where("kind = 0").select("a", "b")
         found = linked if found is None else found.unionByName(linked)
         gap = seen.where("kind = 1").groupBy("key", "b").agg(F.min("d").alias("far"))
@@ -319,7 +320,7 @@ def classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
             size = pc.binary_length(batch.column(2)).cast(pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), size, pa.array(packed, pa.binary())], names=["id", "h", "size", "bands"])
 
-    signed = docs.select("id", F.unhex(F.md5("t")).alias("h"), "t").mapInArrow(sign, "id long, h binary, size long, bands binary")
+    signed = docs.select("id", F.unhex(F.md5("t")).alias("h"), "t").transform(map_batches, sign, "id long, h binary, size long, bands binary")
     signed = materialise(signed, "signatures")
     distinct = materialise(signed.groupBy("h").agg(F.min("id").alias("id"), F.first("size").alias("size"), F.first("bands").alias("bands")), "distinct")  # equal texts have equal bands
 
@@ -330,7 +331,7 @@ def classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
             where = pa.array(np.repeat(np.arange(len(keys)), BANDS))
             yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), batch.column(0).take(where), batch.column(1).take(where)], names=["key", "id", "size"])
 
-    banded = distinct.where("bands IS NOT NULL AND id IS NOT NULL").select("id", "size", "bands").mapInArrow(spread, "key long, id long, size long")
+    banded = distinct.where("bands IS NOT NULL AND id IS NOT NULL").select("id", "size", "bands").transform(map_batches, spread, "key long, id long, size long")
     shared = banded.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("low"), F.bit_xor(F.xxhash64("id")).alias("x"), F.sum(F.shiftright(F.xxhash64("id"), 24)).alias("s")).where("n > 1")
     once = shared.groupBy("n", "low", "x", "s").agg(F.min("key").alias("key")).select("key")  # keys with the same members count once
     active = materialise(banded.join(once, "key"), "candidates")
@@ -343,7 +344,7 @@ def classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
             yield pa.RecordBatch.from_arrays([pa.array(id_key(batch.column(0)).view(np.int64))], names=["key"])
 
     needed = active.select("id").distinct()
-    shared_filter = spark.sparkContext.broadcast(build(needed.mapInArrow(keys, "key long")))  # 32 MB at most
+    shared_filter = spark.sparkContext.broadcast(build(needed.transform(map_batches, keys, "key long")))  # 32 MB at most
 
     def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=3, write_checksum=False).compress
@@ -351,7 +352,7 @@ def classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
             own = batch.filter(pa.array(shared_filter.value.might_hold(id_key(batch.column(0)))))
             yield pa.RecordBatch.from_arrays([own.column(0), pa.array([pack(t.as_py().encode()) for t in own.column(1)], pa.binary())], names=["id", "z"])
 
-    texts = docs.where("id IS NOT NULL").select("id", "t").mapInArrow(squeeze, "id long, z binary")
+    texts = docs.where("id IS NOT NULL").select("id", "t").transform(map_batches, squeeze, "id long, z binary")
     texts = texts.join(needed, "id", "left_semi").groupBy("id").agg(F.min("z").alias("z"))
     texts = materialise(texts, "texts")
     roots = components(links(active, texts, idf))

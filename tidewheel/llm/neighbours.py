@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidewheel.llm.arrow import map_batches
 from tidewheel.llm.texts import mix
 from tidewheel.sources.shared import materialise
 from tidewheel.sources.tables import table
@@ -112,8 +113,8 @@ def search(df: DataFrame, is_query: Column, k: int = 5, hashing: Hashing = Hashi
 
         return run
 
-    indexed = classes.mapInArrow(place(False), "key long, c long, v array<float>" if dict(df.dtypes)[vector] == "array<float>" else "key long, c long, v array<double>")
-    probing = asking.select("class", "v").mapInArrow(place(True), indexed.schema)
+    indexed = classes.transform(map_batches, place(False), "key long, c long, v array<float>" if dict(df.dtypes)[vector] == "array<float>" else "key long, c long, v array<double>")
+    probing = asking.select("class", "v").transform(map_batches, place(True), indexed.schema)
 
     def crowded(side: DataFrame, limit: int, name: str) -> DataFrame:
         return side.groupBy("key").agg(F.ceil(F.count("*") / limit).alias(name)).where(F.col(name) > 1)
@@ -172,7 +173,7 @@ def search(df: DataFrame, is_query: Column, k: int = 5, hashing: Hashing = Hashi
             meet(pa.concat_batches(held))
         yield out()
 
-    merged = met.mapInArrow(rank, "q long, c long, score double").groupBy("q", "c").agg(F.max("score").alias("score"))
+    merged = met.transform(map_batches, rank, "q long, c long, score double").groupBy("q", "c").agg(F.max("score").alias("score"))
     best = merged.withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "c"))).where(F.col("n") <= k + 1).drop("n")
     near = best.join(members.select(F.col("class").alias("c"), "vec_id"), "c")
     near = near.withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "vec_id"))).where(F.col("n") <= k + 1).drop("n", "c")

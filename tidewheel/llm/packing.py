@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+from tidewheel.llm.arrow import map_batches
 from tidewheel.llm.bpe import byte_bpe
 from tidewheel.sources.tables import table
 
@@ -149,7 +150,7 @@ def pack(df: DataFrame, tokenizer: tuple[str, str | None, str | None], size: int
             lay(sequence)
         yield flush()
 
-    return df.select(F.col(doc_id).cast("long"), text).mapInArrow(run, SCHEMA)
+    return df.select(F.col(doc_id).cast("long"), text).transform(map_batches, run, SCHEMA)
 
 
 def gpt_bytes() -> tuple[str, str, str]:

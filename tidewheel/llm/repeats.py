@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
+from tidewheel.llm.arrow import map_batches
 from tidewheel.llm.membership import build
 from tidewheel.llm.near_duplicates import groups
 from tidewheel.llm.texts import STEP, _power, buffers, byte_slices, mix
@@ -128,7 +129,7 @@ def dictionary(texts: DataFrame) -> DataFrame:
                     yield flush()
         yield flush()
 
-    return texts.mapInArrow(run, "u long, r long, l long, n long").groupBy("u", "r", "l").agg(F.sum("n").alias("n"), F.count("*").alias("rows"))
+    return texts.transform(map_batches, run, "u long, r long, l long, n long").groupBy("u", "r", "l").agg(F.sum("n").alias("n"), F.count("*").alias("rows"))
 
 
 def repeated_starts(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -147,7 +148,7 @@ def repeated_starts(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -
             c = {n: np.asarray(batch.column(i)).view(_U) for i, n in enumerate("url")}
             yield pa.RecordBatch.from_arrays([signed(class_key(c))], names=["key"])
 
-    filters = spark.sparkContext.broadcast([build(known.where("kind = 0").select("u", "r", "l").mapInArrow(key, "key long")), build(known.where("kind > 0").select("u")), build(known.where("kind = 2").select("u"))])
+    filters = spark.sparkContext.broadcast([build(known.where("kind = 0").select("u", "r", "l").transform(map_batches, key, "key long")), build(known.where("kind > 0").select("u")), build(known.where("kind = 2").select("u"))])
 
     names = ["kind", "u", "r", "l", "k", "h", "i0", "i1", "bytes"]
 
@@ -186,7 +187,7 @@ def repeated_starts(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -
                         place = pa.array(start - base[of])
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(of), 2)), signed(a), signed(b), signed(np.zeros(len(of), _U)), pa.array(k[doc[of]]), pa.array(h[doc[of]]), place, place, pa.nulls(len(of), pa.binary())], names=names)
 
-    found = materialise(docs.mapInArrow(look_up, "kind long, u long, r long, l long, k long, h long, i0 long, i1 long, bytes binary"), "contexts")
+    found = materialise(docs.transform(map_batches, look_up, "kind long, u long, r long, l long, k long, h long, i0 long, i1 long, bytes binary"), "contexts")
     whole = found.where("kind = 0").join(known.where("kind = 0").select("u", "r", "l"), ["u", "r", "l"], "left_semi").select("k", "h", F.col("i0").alias("a"), F.col("i1").alias("b"))
     starts = found.where("kind = 2").select("u", "r", "k", "h", "i0")
     common = starts.groupBy("u", "r").agg(F.count("*").alias("n")).where("n > 1").select("u", "r")
@@ -232,7 +233,7 @@ def repeated_starts(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -
         if held:
             yield settle()
 
-    part = halves.mapInArrow(compare, "k long, h long, a long, b long")
+    part = halves.transform(map_batches, compare, "k long, h long, a long, b long")
     return materialise(whole.unionByName(single).unionByName(part), "starts")
 
 
@@ -256,7 +257,7 @@ def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", ke
         for batch in batches:
             yield pa.RecordBatch.from_arrays([signed(doc_key(batch))], names=["key"])
 
-    shared = spark.sparkContext.broadcast(build(starts.select("k", "h").distinct().mapInArrow(keys, "key long")))
+    shared = spark.sparkContext.broadcast(build(starts.select("k", "h").distinct().transform(map_batches, keys, "key long")))
     carried = df.select(*[F.col(f"`{c}`") for c in carry or []]).schema.fields
     docs = df.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(lowest)).alias("k"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("h"), F.coalesce(text, F.lit("")).alias("t"), *[F.col(f"`{f.name}`").alias(f"__{f.name}") for f in carried])
     made = [StructField(c, LongType()) for c in ("doc_id", "n_bytes", "n_removed", "n_spans")] + [StructField(c, StringType()) for c in ["kept_sha256", "text"][: 1 + keep_text]]
@@ -308,13 +309,13 @@ def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", ke
             yield pa.RecordBatch.from_arrays([*columns(rows), *batch.take(pa.array(of, pa.int64())).columns[6:]], names=names + batch.schema.names[6:])
 
     out = StructType(made + extra)
-    still = docs.mapInArrow(whole, out)
-    texts = docs.mapInArrow(moving, StructType([StructField("k", LongType()), StructField("h", LongType()), StructField("z", BinaryType()), *extra]))
+    still = docs.transform(map_batches, whole, out)
+    texts = docs.transform(map_batches, moving, StructType([StructField("k", LongType()), StructField("h", LongType()), StructField("z", BinaryType()), *extra]))
     zero = F.lit(0).cast("long")
     texts = texts.select("k", "h", F.lit(1).cast("long").alias("tag"), zero.alias("a"), zero.alias("b"), "z", *[f.name for f in extra])
     runs = starts.select("k", "h", zero.alias("tag"), "a", "b", F.lit(None).cast("binary").alias("z"), *[F.lit(None).cast(f.dataType).alias(f.name) for f in extra])
     met = texts.unionByName(runs).repartition("k", "h").sortWithinPartitions("k", "h", "tag", "a")
-    done = still.unionByName(met.mapInArrow(cut, out))
+    done = still.unionByName(met.transform(map_batches, cut, out))
     return done.toDF(*names, *[f.name for f in carried])
 
 
