@@ -4,6 +4,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from tidewheel.llm import components as components_module
 from tidewheel.llm import near_duplicates as nd
 from tidewheel.llm.components import components
 from tidewheel.llm.texts import buffers
@@ -66,6 +67,21 @@ def test_crowd_of_near_copies_with_small_rounds(spark, monkeypatch):
     check(spark, variants(60))
 
 
+def test_crowd_with_few_bytes_of_pivots(spark, monkeypatch):
+    monkeypatch.setattr(nd, "PIVOT_BYTES", 3000)
+    monkeypatch.setattr(nd, "MEMBERS", 16)
+    check(spark, variants(40, seed=2))
+
+
+def test_pivots_compare_as_pairs_do():
+    texts = [t for _, t in variants(20, 60)] + ["one", "two three four five six", "two three four five six seven", "long " * 50]
+    own = nd.vectors(texts, np.linspace(0.5, 3, 1 << nd.TABLE_BITS).astype(np.float32))
+    table = nd.Pivots(own[3:])
+    for v in own:
+        assert np.allclose(table.similarity(v), [nd.weighted_jaccard(p, v) for p in own[3:]])
+    assert len(nd.Pivots([]).similarity(own[0])) == 0
+
+
 def test_odd_texts(spark):
     check(spark, [(1, None), (2, ""), (3, "a"), (4, "a"), (5, "!!!"), (6, "one two three"), (7, "one two three"), (8, "one two four"), (9, "long " * 5000), (10, "long " * 5000 + "x")])
     assert nd.classes(spark.createDataFrame([], "doc_id long, text string")).count() == 0
@@ -76,6 +92,24 @@ def test_null_and_repeated_ids(spark):
     assert sorted(map(str, (tuple(r) for r in nd.classes(df).collect()))) == sorted(map(str, [(None, 3, 3), (None, None, None), (3, 3, 3), (3, 3, 3)]))
 
 
+def test_components_of_tasks_that_pass_on_early(spark, monkeypatch):
+    monkeypatch.setattr(components_module, "AT_ONCE", 4)
+    edges = [(i, i * 7 % 50) for i in range(50)] + [(200 + i, 300 - i) for i in range(40)]
+    root = {x: x for e in edges for x in e}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        x, y = find(a), find(b)
+        root[max(x, y)] = min(x, y)
+    alone = {x for x in root if all(a == b for a, b in edges if x in (a, b))}
+    got = {tuple(r) for r in components(spark.createDataFrame(edges, "a long, b long").repartition(4)).collect()}
+    assert got == {(x, find(x)) for x in root if x not in alone}
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (102, 100), (7, 7)]
     got = {tuple(r) for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
