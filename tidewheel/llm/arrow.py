@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
+from tidewheel.sources.tables import reach
+
 #: Of one Arrow batch, in the JVM and in Python; one row may be more.
 BATCH_BYTES = 2 << 20
 
@@ -26,6 +28,7 @@ def give_back() -> None:
 
 def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType | str) -> DataFrame:
     """mapInArrow with batches of BATCH_BYTES, unless the session says otherwise."""
+    reach(df.sparkSession)
     conf = df.sparkSession.conf
     if conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
         conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
