@@ -48,3 +48,17 @@ def test_sketches_merge_and_contain():
     t, hashes = fp.decode(fp.encode(whole))
     assert t == whole[0] and (hashes == whole[1]).all()
     assert fp.likeness(*fp.sketches(["", ""])) == 1.0
+
+
+def test_long_loops_keep_all_their_shingles():
+    def true(a, b):
+        x, y = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (a.split(), b.split()))
+        return len(x & y) / len(x | y)
+
+    line = [f"w{i}" for i in range(30)]
+    loop, other = " ".join(line * 40), " ".join((line[:20] + ["x", "y"]) * 60)
+    a, b, short = fp.sketches([loop, other, " ".join(line * 2)])
+    assert a[0] == b[0] == short[0] == fp.FULL
+    assert (len(a[1]), len(b[1])) == (30, 22)
+    assert fp.likeness(a, b) == true(loop, other)
+    assert fp.encode(a) == fp.encode(short)  # the same shingles on either side of 512 positions

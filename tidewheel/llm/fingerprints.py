@@ -36,11 +36,11 @@ def sketches(texts: list[str]) -> list[Sketch]:
     ends = np.searchsorted(of, np.arange(len(texts) + 1))
     out = []
     for i in range(len(texts)):
-        own = found[ends[i] : ends[i + 1]]
-        if len(own) <= 8 * SMALL and len(every := np.unique(own)) <= SMALL:
+        every = np.unique(found[ends[i] : ends[i + 1]])
+        if len(every) <= SMALL:
             out.append((FULL, every))
         else:
-            out.append((int(LIMIT), np.unique(own[own < LIMIT])))
+            out.append((int(LIMIT), every[every < LIMIT]))
     return out
 
 
