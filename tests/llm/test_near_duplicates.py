@@ -114,3 +114,21 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (102, 100), (7, 7)]
     got = {tuple(r) for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {(i, 0) for i in range(41)} | {(100, 100), (101, 100), (102, 100)}
+
+
+def test_frequencies_are_of_shingles_not_of_buckets(spark):
+    base = [f"s{i}" for i in range(26)]
+    a, b = " ".join(base), " ".join(base[:24] + ["other", "end"])
+    (x, *_), (y, *_) = nd.vectors([a, b], np.ones(1 << nd.TABLE_BITS, np.float32))
+    shared = np.unique(nd.bucket(np.intersect1d(x, y)))
+    clash = []  # unrelated texts of one shingle each, in the buckets of the shared ones
+    for begin in range(0, 4_000_000, 200_000):
+        texts = [f"u{i} v w x y" for i in range(begin, begin + 200_000)]
+        found, of, _ = nd.weighed(*buffers(pa.array(texts)))
+        clash += [texts[i] for i in of[np.isin(nd.bucket(found), shared)]]
+    docs = [(1, a), (2, b), *((10 + i, t) for i, t in enumerate(clash))]
+    of_two, of_one = np.log1p(len(docs) / 2), np.log1p(len(docs))
+    assert 20 * of_two / (20 * of_two + 4 * of_one) > nd.SIMILAR
+    assert brute(docs)[2] == 2  # by bucket they are unlike
+    got = {r["doc_id"]: r["class_id"] for r in nd.classes(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()}
+    assert got[2] == 1 and all(got[d] == d for d, _ in docs if d != 2)

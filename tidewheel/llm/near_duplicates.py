@@ -1,7 +1,7 @@
 """Near-duplicates by consistent weighted sampling.
 
-Shingles of five words are weighted by TF-IDF. Document frequencies are counted over all documents in
-a hashed table of fixed size. Improved consistent weighted sampling draws BANDS x ROWS samples from
+Shingles of five words are weighted by TF-IDF. Document frequencies are counted over all documents by
+whole hash: parts of the hash range count them and send each block of documents its own. Improved consistent weighted sampling draws BANDS x ROWS samples from
 each distinct text; two texts share one with the probability of their weighted Jaccard similarity.
 Texts that agree on a whole band are candidates, and the exact weighted similarity decides.
 
@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -34,7 +35,9 @@ WIDTH = 5
 SIMILAR = 0.8
 BANDS, ROWS = 16, 4
 TABLE_BITS = 20
-CHUNKS = 64
+BLOCK = 1 << 21
+PART_BYTES = 32 << 20
+LEAST_PARTS = 64
 LINKED = SIMILAR - 1e-12
 PIVOTS = 1024
 PIVOT_BYTES = 16 << 20
@@ -64,39 +67,67 @@ def bucket(found: np.ndarray) -> np.ndarray:
     return (found >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
 
 
-def document_frequencies(texts: DataFrame) -> np.ndarray:
-    """Documents by hashed shingle, over all rows of the one text column. The table has 2 ** TABLE_BITS entries whatever the corpus."""
+def in_blocks(docs: DataFrame) -> DataFrame:
+    """(block, docs, bytes, z): runs of (id, h, t) rows, compressed. Numbers of blocks hold only once they are written."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(1 << TABLE_BITS, np.int64)
-        held, size = [], 0
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze, task, n = zstandard.ZstdCompressor(level=3).compress, TaskContext.get().partitionId() << 32, 0
         for batch in batches:
-            for begin, end in byte_slices(batch.column(0)):
-                held.append(bucket(weighed(*buffers(batch.column(0).slice(begin, end - begin)))[0]))
-                size += len(held[-1])
-                if size > len(seen):
-                    seen += np.bincount(np.concatenate(held), minlength=len(seen))
-                    held, size = [], 0
-        if held:
-            seen += np.bincount(np.concatenate(held), minlength=len(seen))
-        if seen.any():
-            squeeze = zstandard.ZstdCompressor(level=1).compress
-            yield pa.RecordBatch.from_arrays([pa.array(range(CHUNKS), pa.int32()), pa.array([squeeze(x.tobytes()) for x in np.split(seen, CHUNKS)], pa.binary())], names=["chunk", "z"])
+            for begin, end in byte_slices(batch.column(2), BLOCK):
+                sink, own = pa.BufferOutputStream(), batch.slice(begin, end - begin)
+                with pa.ipc.new_stream(sink, own.schema) as out:
+                    out.write_batch(own)
+                size = pc.sum(pc.binary_length(own.column(2))).as_py()
+                yield pa.RecordBatch.from_pydict({"block": [task + n], "docs": [own.num_rows], "bytes": [size], "z": [squeeze(sink.getvalue().to_pybytes())]})
+                n += 1
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        expand = zstandard.ZstdDecompressor().decompress
+    return docs.transform(map_batches, cut, "block long, docs long, bytes long, z binary")
+
+
+def opened(z: bytes) -> pa.RecordBatch:
+    return pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(z)).read_next_batch()
+
+
+def weighed_slices(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
+    """`weighed` of slices that stay in cache, and the number of texts of each."""
+    return [(*weighed(*buffers(column.slice(begin, end - begin))), end - begin) for begin, end in byte_slices(column)]
+
+
+def document_frequencies(blocks: DataFrame, parts: int) -> DataFrame:
+    """(block, part, z): for each block the documents of all blocks that have its distinct shingles, in order of part and hash.
+
+    Each shingle is counted by its whole hash in the part of the hash range that it falls in.
+    """
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
-            for chunk, z in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                x = np.frombuffer(expand(z), np.int64)
-                sums[chunk] = sums[chunk] + x if chunk in sums else x
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["chunk", "z"])
+            for block, z in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                every = [w[0] for w in weighed_slices(opened(z.as_py()).column(2))]
+                found, times = np.unique(np.concatenate(every), return_counts=True)
+                if not len(found):
+                    continue
+                part = ((found >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+                at = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(found)]
+                ranges = list(zip(at, at[1:], strict=False))
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(part[at[:-1]]), pa.array([block] * len(ranges), pa.int64()), pa.array([found[a:b].tobytes() for a, b in ranges], pa.binary()),
+                    pa.array([squeeze(times[a:b].astype(np.int32).tobytes()) for a, b in ranges], pa.binary()),
+                ], names=["part", "block", "found", "times"])
 
-    parts = texts.transform(map_batches, count, "chunk int, z binary").repartition("chunk").transform(map_batches, add, "chunk int, z binary").collect()  # the table, once
-    out = np.zeros((CHUNKS, (1 << TABLE_BITS) // CHUNKS), np.int64)
-    for r in parts:
-        out[r["chunk"]] = np.frombuffer(r["z"], np.int64)
-    return out.ravel()
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze, expand = zstandard.ZstdCompressor(level=1).compress, zstandard.ZstdDecompressor().decompress
+        for run in groups(batches, 1):
+            own = [np.frombuffer(x.as_py(), np.uint64) for x in run.column(2)]
+            times = np.concatenate([np.frombuffer(expand(x.as_py()), np.int32) for x in run.column(3)])
+            _, which = np.unique(np.concatenate(own), return_inverse=True)
+            total = np.bincount(which, times).astype(np.int32)[which]
+            ends = np.cumsum([len(x) for x in own])[:-1]
+            z = pa.array([squeeze(x.tobytes()) for x in np.split(total, ends)], pa.binary())
+            yield pa.RecordBatch.from_arrays([run.column(1), run.column(0), z], names=["block", "part", "z"])
+
+    dealt = blocks.select("block", "z").transform(map_batches, deal, "part long, block long, found binary, times binary")
+    return dealt.repartition("part").sortWithinPartitions("part").transform(map_batches, add, "block long, part long, z binary")
 
 
 def inverse_frequencies(documents: int, frequencies: np.ndarray) -> np.ndarray:
@@ -145,9 +176,10 @@ def band_keys(found: np.ndarray, of: np.ndarray, weights: np.ndarray, texts: int
 Vector = tuple[np.ndarray, np.ndarray, float]
 
 
-def vectors(texts: list[str], idf: np.ndarray) -> list[Vector]:
+def vectors(texts: list[str], idf: np.ndarray, own: np.ndarray | None = None) -> list[Vector]:
+    """Vectors of texts by a table of inverse frequencies by bucket, or by `own` ones of their distinct shingles in order."""
     found, of, times = weighed(*buffers(pa.array(texts, pa.large_string())))
-    w = weights_of(found, times, idf).astype(np.float64)
+    w = (weights_of(found, times, idf) if own is None else times.astype(np.float32) * own).astype(np.float64)
     ends = np.searchsorted(of, np.arange(len(texts) + 1))
     return [(found[a:b], w[a:b], float(w[a:b].sum())) for a, b in zip(ends, ends[1:], strict=False)]
 
@@ -205,8 +237,9 @@ class Pivots:
         return np.divide(both, either, out=np.zeros(len(both)), where=either > 0)
 
 
-def links(active: DataFrame, texts: DataFrame, idf) -> DataFrame:
-    """Links (a, b) that connect all similar members of each key: (key, id, size) rows, (id, z) compressed texts.
+def links(active: DataFrame, texts: DataFrame, documents: int) -> DataFrame:
+    """Links (a, b) that connect all similar members of each key: (key, id, size) rows, (id, z, f) compressed texts and
+    document frequencies of their distinct shingles.
 
     Keys of few members are compared at once, all members being pivots. A larger key starts with one
     pivot. From then on only members outside the component that most of the key belongs to can still
@@ -221,24 +254,25 @@ def links(active: DataFrame, texts: DataFrame, idf) -> DataFrame:
         parts = F.ceil(F.col("n") / MEMBERS)
         chosen = state.where("pivot").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).withColumn("tag", F.lit(0).cast("long"))
         others = state.where("NOT pivot").withColumn("part", F.pmod(F.xxhash64("id"), parts)).withColumn("tag", F.when(F.col("more"), 1).otherwise(2).cast("long"))
-        placed = chosen.unionByName(others).select("key", "part", "tag", "id", "size").join(texts, "id").select("key", "part", "tag", "id", "size", "z")
+        placed = chosen.unionByName(others).select("key", "part", "tag", "id", "size").join(texts, "id").select("key", "part", "tag", "id", "size", "z", "f")
         placed = placed.repartition("key", "part").sortWithinPartitions("key", "part", "tag", "id")
 
         def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            expand, table = zstandard.ZstdDecompressor().decompressobj, idf.value
+            expand = zstandard.ZstdDecompressor().decompressobj
 
-            def read(z: pa.Array, size: np.ndarray, begin: int, end: int) -> Iterator[Vector]:
+            def read(z: pa.Array, f: pa.Array, size: np.ndarray, begin: int, end: int) -> Iterator[Vector]:
                 while begin < end:
                     upto = begin + max(1, int(np.searchsorted(np.cumsum(size[begin:end]), 1 << 19, "right")))
-                    yield from vectors([expand().decompress(z[i].as_py()).decode() for i in range(begin, upto)], table)
+                    own = np.concatenate([np.frombuffer(expand().decompress(f[i].as_py()), np.int32) for i in range(begin, upto)])
+                    yield from vectors([expand().decompress(z[i].as_py()).decode() for i in range(begin, upto)], None, inverse_frequencies(documents, own))
                     begin = upto
 
             for run in groups(batches, 2):
                 key, part = run.column(0)[0].as_py(), run.column(1)[0].as_py()
-                tag, ids, size, z = (np.asarray(run.column(2)), np.asarray(run.column(3)), np.asarray(run.column(4)), run.column(5))
+                tag, ids, size, z, f = (np.asarray(run.column(2)), np.asarray(run.column(3)), np.asarray(run.column(4)), run.column(5), run.column(6))
                 n = int((tag == 0).sum())
                 pivot_ids = ids[:n].tolist()
-                own = list(read(z, size, 0, n))
+                own = list(read(z, f, size, 0, n))
                 pivots = Pivots(own)
                 root = list(range(n))
 
@@ -256,7 +290,7 @@ def links(active: DataFrame, texts: DataFrame, idf) -> DataFrame:
                             root[max(a, b)] = min(a, b)
                             out.append((key, 0, pivot_ids[i], pivot_ids[j], 0, 0.0))
                 far = np.ones(n)
-                for i, vector in enumerate(read(z, size, n, len(ids)), n):
+                for i, vector in enumerate(read(z, f, size, n, len(ids)), n):
                     like = pivots.similarity(vector)
                     near = like >= LINKED
                     far = np.where(near, far, np.minimum(far, 1 - like))
@@ -306,23 +340,30 @@ def classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     """
     spark = df.sparkSession
     docs = df.select(F.col(doc_id).cast("long").alias("id"), F.coalesce(text, F.lit("")).alias("t"))
-    idf = spark.sparkContext.broadcast(inverse_frequencies(docs.count(), document_frequencies(docs.select("t"))))  # 4 MB, fixed
+    blocks = materialise(in_blocks(docs.select("id", F.unhex(F.md5("t")).alias("h"), "t")), "blocks")
+    documents, size = blocks.agg(F.coalesce(F.sum("docs"), F.lit(0)), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    counted = document_frequencies(blocks, max(LEAST_PARTS, -(-size // PART_BYTES)))
+    placed = blocks.select("block", F.lit(-1).cast("long").alias("part"), "z").unionByName(counted).repartition("block").sortWithinPartitions("block", "part")
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = idf.value
-        for batch in batches:
-            keys: list = []
-            for begin, end in byte_slices(batch.column(2)):
-                part, at = buffers(batch.column(2).slice(begin, end - begin))
-                found, of, times = weighed(part, at)
-                keys += band_keys(found, of, weights_of(found, times, table), end - begin)
-            packed = [None if k is None else k.tobytes() for k in keys]
-            size = pc.binary_length(batch.column(2)).cast(pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), size, pa.array(packed, pa.binary())], names=["id", "h", "size", "bands"])
-
-    signed = docs.select("id", F.unhex(F.md5("t")).alias("h"), "t").transform(map_batches, sign, "id long, h binary, size long, bands binary")
-    signed = materialise(signed, "signatures")
-    distinct = materialise(signed.groupBy("h").agg(F.min("id").alias("id"), F.first("size").alias("size"), F.first("bands").alias("bands")), "distinct")  # equal texts have equal bands
+        squeeze, expand = zstandard.ZstdCompressor(level=1).compress, zstandard.ZstdDecompressor().decompress
+        for run in groups(batches, 1):
+            batch = opened(run.column(2)[0].as_py())
+            total = np.concatenate([np.zeros(0, np.int32), *(np.frombuffer(expand(x.as_py()), np.int32) for x in run.column(2)[1:])])
+            slices = weighed_slices(batch.column(2))
+            every = np.unique(np.concatenate([w[0] for w in slices]))
+            keys, packed = [], []
+            for found, of, times, n in slices:
+                own = total[np.searchsorted(every, found)]
+                keys += band_keys(found, of, times.astype(np.float32) * inverse_frequencies(documents, own), n)
+                packed += [squeeze(x.tobytes()) for x in np.split(own, np.searchsorted(of, np.arange(1, n)))]
+            length = pc.binary_length(batch.column(2)).cast(pa.int64())
+            bands = pa.array([None if k is None else k.tobytes() for k in keys], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), length, bands, pa.array(packed, pa.binary())], names=["id", "h", "size", "bands", "f"])
+
+    signed = materialise(placed.transform(map_batches, sign, "id long, h binary, size long, bands binary, f binary"), "signatures")
+    firsts = [F.first(c).alias(c) for c in ("size", "bands", "f")]  # equal texts have equal ones
+    distinct = materialise(signed.groupBy("h").agg(F.min("id").alias("id"), *firsts), "distinct")
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         salt = mix(np.arange(BANDS, dtype=np.uint64) * STEP)
@@ -350,12 +391,12 @@ def classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
         pack = zstandard.ZstdCompressor(level=3, write_checksum=False).compress
         for batch in batches:
             own = batch.filter(pa.array(shared_filter.value.might_hold(id_key(batch.column(0)))))
-            yield pa.RecordBatch.from_arrays([own.column(0), pa.array([pack(t.as_py().encode()) for t in own.column(1)], pa.binary())], names=["id", "z"])
+            yield pa.RecordBatch.from_arrays([own.column(0), own.column(2), pa.array([pack(t.as_py().encode()) for t in own.column(1)], pa.binary())], names=["id", "h", "z"])
 
-    texts = docs.where("id IS NOT NULL").select("id", "t").transform(map_batches, squeeze, "id long, z binary")
-    texts = texts.join(needed, "id", "left_semi").groupBy("id").agg(F.min("z").alias("z"))
-    texts = materialise(texts, "texts")
-    roots = components(links(active, texts, idf))
+    texts = docs.where("id IS NOT NULL").select("id", "t", F.unhex(F.md5("t")).alias("h")).transform(map_batches, squeeze, "id long, h binary, z binary")
+    texts = texts.join(distinct.join(needed, "id", "left_semi").select("id", "h", "f"), ["id", "h"])
+    texts = materialise(texts.groupBy("id").agg(F.min(F.struct("z", "f")).alias("own")).select("id", "own.z", "own.f"), "texts")
+    roots = components(links(active, texts, documents))
     named = distinct.select("h", F.col("id").alias("text_id")).join(roots, F.col("text_id") == F.col("node"), "left")
     named = named.select("h", "text_id", F.coalesce("root", "text_id").alias("class_id"))
     return signed.select(F.col("id").alias("doc_id"), "h").join(named, "h").select("doc_id", "text_id", "class_id")
