@@ -1,8 +1,10 @@
-"""Document fingerprints: threshold-scaled sketches of word shingles.
+"""Document fingerprints: threshold-scaled sketches of byte shingles.
 
-A sketch keeps every five-word shingle hash below FRACTION of the hash range; a text of at most SMALL
-distinct shingles keeps them all. Two sketches are compared below the smaller of their thresholds, so
-containment between very unequal texts, and the sketch of a union, follow from the sketches alone.
+A sketch keeps the hash of every run of WIDTH bytes that falls below one FRACTIONth of the hash range,
+the same for every text, so the sketch of a union is the union of the sketches, and containment
+between very unequal texts follows from the sketches alone. A text shorter than WIDTH is one shingle.
+A text none of whose hashes is that low carries a digest of its shingles instead, which is alike to an
+equal digest only.
 """
 
 from __future__ import annotations
@@ -19,68 +21,78 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
 from tidewheel.llm.arrow import map_batches
-from tidewheel.llm.texts import buffers, shingles, words
+from tidewheel.llm.texts import STEP, _power, mix
 from tidewheel.sources.tables import table
 
-FRACTION = 8  # one in so many
-SMALL = 64
+WIDTH = 24
+FRACTION = 16  # one in so many
 LIMIT = np.uint64((1 << 64) // FRACTION)
-FULL = (1 << 64) - 1
+AT_ONCE = 1 << 19  # bytes hashed at a time, so memory does not grow with a text
+RANGE_BYTES = 64 << 20  # of text in one range of ids
 
-Sketch = tuple[int, np.ndarray]  # threshold, sorted hashes up to it
+_BASE = 0x2545F4914F6CDD1D
+_INVERSE = pow(_BASE, -1, 1 << 64)
+_TABLE = mix(np.arange(1, 257, dtype=np.uint64) * STEP + np.uint64(77))
 
+#: Sorted hashes below LIMIT, and a digest of all shingles if there are none.
+Sketch = tuple[np.ndarray, bytes]
 
-def sketches(texts: list[str]) -> list[Sketch]:
-    data, at = buffers(pa.array(texts, pa.large_string()))
-    found, of = shingles(*words(data, at))
-    ends = np.searchsorted(of, np.arange(len(texts) + 1))
-    out = []
-    for i in range(len(texts)):
-        every = np.unique(found[ends[i] : ends[i + 1]])
-        if len(every) <= SMALL:
-            out.append((FULL, every))
-        else:
-            out.append((int(LIMIT), every[every < LIMIT]))
-    return out
 
+def shingle_hashes(data: np.ndarray) -> np.ndarray:
+    """Hash of each run of WIDTH bytes; of the whole, if it is shorter; none of nothing."""
+    n = len(data)
+    if not n:
+        return np.zeros(0, np.uint64)
+    width = min(n, WIDTH)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_TABLE[data] * _power(_BASE, n))])
+    return mix((sums[width:] - sums[:-width]) * _power(_INVERSE, n)[: n - width + 1] + np.uint64(width))
 
-def below(sketch: Sketch, threshold: int) -> np.ndarray:
-    return sketch[1] if sketch[0] <= threshold else sketch[1][sketch[1] < np.uint64(threshold)]
+
+def sketch(text: str) -> Sketch:
+    data = np.frombuffer(text.encode(), np.uint8)
+    low, least = [], []
+    for at in range(0, max(1, len(data) - WIDTH + 1), AT_ONCE):
+        found = shingle_hashes(data[at : at + AT_ONCE + WIDTH - 1])
+        low.append(found[found < LIMIT])
+        if not len(low[0]):
+            least.append(np.unique(found))
+    kept = np.unique(np.concatenate(low))
+    return kept, b"" if len(kept) else hashlib.md5(np.unique(np.concatenate(least)).tobytes()).digest()
 
 
 def common(a: Sketch, b: Sketch) -> tuple[int, int, int]:
-    """Hashes of a, of b and of both below the smaller threshold."""
-    t = min(a[0], b[0])
-    x, y = below(a, t), below(b, t)
-    return len(x), len(y), len(np.intersect1d(x, y, assume_unique=True))
+    """Hashes of a, of b and of both."""
+    return len(a[0]), len(b[0]), len(np.intersect1d(a[0], b[0], assume_unique=True))
 
 
 def likeness(a: Sketch, b: Sketch) -> float:
-    """Estimated Jaccard similarity; two sketches without a hash are alike if they are equal."""
+    """Estimated Jaccard similarity; of two sketches without a hash, 1 if their shingles are equal, else 0."""
     x, y, both = common(a, b)
-    return both / (x + y - both) if x + y else float(a[0] == b[0] and len(a[1]) == len(b[1]))
+    return both / (x + y - both) if x + y else float(a[1] == b[1])
 
 
 def containment(a: Sketch, b: Sketch) -> float:
-    """Estimated share of a's shingles that b has."""
+    """Estimated share of a's shingles that b has; without a hash of a, whether the digests are equal."""
     x, _, both = common(a, b)
-    return both / x if x else float(not len(a[1]))
+    return both / x if x else float(a[1] == b[1])
 
 
 def merge(a: Sketch, b: Sketch) -> Sketch:
-    """Sketch of both texts' shingles together."""
-    t = min(a[0], b[0])
-    return t, np.union1d(below(a, t), below(b, t))
+    """Sketch of both texts' shingles together. Two that have no hash and are unlike give a digest of their own."""
+    kept = np.union1d(a[0], b[0])
+    if len(kept) or a[1] == b[1]:
+        return kept, b"" if len(kept) else a[1]
+    return kept, hashlib.md5(min(a[1], b[1]) + max(a[1], b[1])).digest()
 
 
-def encode(sketch: Sketch) -> str:
-    kind = "all" if sketch[0] == FULL else f"1/{FRACTION}"
-    return f"{kind}:{base64.b64encode(sketch[1].astype('<u8').tobytes()).decode()}"
+def encode(own: Sketch) -> str:
+    """As text: the fraction, the hashes in ascending order, the digest if there is none."""
+    return f"1/{FRACTION}:{base64.b64encode(own[0].astype('<u8').tobytes()).decode()}:{own[1].hex()}"
 
 
 def decode(text: str) -> Sketch:
-    kind, _, hashes = text.partition(":")
-    return (FULL if kind == "all" else int(LIMIT)), np.frombuffer(base64.b64decode(hashes), "<u8")
+    _, hashes, digest = text.split(":")
+    return np.frombuffer(base64.b64decode(hashes), "<u8"), bytes.fromhex(digest)
 
 
 LOWEST = -(1 << 63)
@@ -90,82 +102,131 @@ SCHEMA = StructType([
 ])
 
 
-def fingerprint_with_next(df: DataFrame, doc_id: str = "doc_id", text: str = "text", block: int = 1 << 21) -> DataFrame:
+class Ranges:
+    """Ranges of (p, tie), in order of p. `cuts` may repeat a value: a place that holds that many ranges' worth of rows is divided by tie."""
+
+    def __init__(self, cuts: list[int]):
+        values, times = np.unique(np.array(cuts, np.int64), return_counts=True)
+        self.values, self.parts = values, np.where(times > 1, times, 0)
+        self.first = np.cumsum(self.parts + 1) - self.parts  # number of the first range of a value
+
+    def __len__(self) -> int:
+        return int(1 + (self.parts + 1).sum())
+
+    def of(self, p: np.ndarray, tie: np.ndarray) -> np.ndarray:
+        if not len(self.values):
+            return np.zeros(len(p), np.int64)
+        at = np.searchsorted(self.values, p, "right") - 1  # last value that is not above p
+        some = np.maximum(at, 0)
+        parts, first = self.parts[some], self.first[some]
+        upper = (tie.view(np.uint64) ^ np.uint64(1 << 63)) >> np.uint64(32)  # ascending with the signed tie
+        divided = first + (upper * parts.astype(np.uint64) >> np.uint64(32)).astype(np.int64)
+        return np.where(at < 0, 0, np.where((parts > 0) & (p == self.values[some]), divided, first + parts))
+
+
+def fingerprint_with_next(df: DataFrame, doc_id: str = "doc_id", text: str = "text", block: int = 1 << 21, ranges: int | None = None) -> DataFrame:
     """Fingerprints of each text and of its edited form, which borrows from the next document.
 
     The last floor(n_chars / 2) code points are replaced by the first as many of the next document by
     descending id; after the last comes the first. Null ids come last. Rows that share an id follow by
-    hash of their text; repeated rows are documents of their own. Null texts are empty. An empty table
-    gives an empty one; other columns are ignored.
+    hash of their text; repeated rows are documents of their own. Null texts are empty. Very long texts
+    are hashed piece by piece. An empty table gives an empty one; other columns are ignored.
 
     Documents move once: compressed, to the range of ids that holds them, sorted there, read as a
-    stream. Range boundaries are quantiles of the ids. The first document of each range moves to the
-    range before as well, as the one that follows its last.
+    stream. Ranges are cut at quantiles of the ids, one for each RANGE_BYTES of text or, if more, each
+    shuffle partition; an id that fills several is divided by hash of the text. Equal rows of a batch
+    move as one with a count. The first document of each range moves to the range before as well, as
+    the one that follows its last.
     """
     spark = df.sparkSession
-    ids = df.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(LOWEST)).alias("k"), F.coalesce(text, F.lit("")).alias("t"))
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = np.unique(np.array(ids.select(F.col("k").cast("double")).approxQuantile("k", [i / n for i in range(1, n)], 0.25 / n) or [0.0]))
+    ids = df.select(F.bitwise_not(F.coalesce(F.col(doc_id).cast("long"), F.lit(LOWEST))).alias("p"), F.coalesce(text, F.lit("")).alias("t"))
+    size = ids.agg(F.sum(F.octet_length("t"))).first()[0] or 0
+    n = ranges or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE_BYTES))
+    found = ids.agg(F.percentile_approx("p", [i / n for i in range(1, n)], 4 * n)).first()[0] if n > 1 else []
+    cut = Ranges(found or [])
+    keyed = ids.select("p", F.xxhash64("t").alias("tie"))
 
     def firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        least: dict[int, tuple[int, int]] = {}
         for batch in batches:
-            k = np.asarray(batch.column(0))
-            buckets = np.searchsorted(cuts, k.astype(float), "right")
-            found = sorted({int(b): int(k[buckets == b].max()) for b in np.unique(buckets)}.items())
-            yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in found], pa.int64()), pa.array([x for _, x in found], pa.int64())], names=["b", "first"])
-
-    # one row for each range, of which there are as many as shuffle partitions
-    first = {r["b"]: r["first"] for r in ids.select("k").transform(map_batches, firsts, "b long, first long").groupBy("b").agg(F.max("first").alias("first")).collect()}
-    order = sorted(first)
-    tail_of = {first[b]: order[(i + 1) % len(order)] for i, b in enumerate(order)}  # a range's first follows the range above
+            p, tie = (np.asarray(batch.column(i)) for i in (0, 1))
+            b = cut.of(p, tie)
+            order = np.lexsort((tie, p, b))
+            for i in order[np.concatenate([[True], b[order][1:] != b[order][:-1]])] if len(order) else ():
+                own = (int(p[i]), int(tie[i]))
+                least[int(b[i])] = min(least.get(int(b[i]), own), own)
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*[(b, *x) for b, x in least.items()], strict=True) if least else [()] * 3)], names=["b", "p", "tie"])
+
+    # one row for each range
+    heads = {r["b"]: tuple(r["first"]) for r in keyed.transform(map_batches, firsts, "b long, p long, tie long").groupBy("b").agg(F.min(F.struct("p", "tie")).alias("first")).collect()}
+    order = sorted(heads)
+    tail_of = {heads[b]: order[i - 1] for i, b in enumerate(order)}  # a range's first follows the last of the range before
+    starts = np.array(sorted(p for p, _ in tail_of), np.int64)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=3, write_checksum=False).compress
-        heads = np.array(sorted(tail_of), np.int64)
         for batch in batches:
-            k = np.asarray(batch.column(0))
-            buckets = np.searchsorted(cuts, k.astype(float), "right")
-            z = [squeeze(x.encode()) for x in batch.column(1).to_pylist()]
-            extra = np.flatnonzero(np.isin(k, heads))
-            rows = np.concatenate([np.arange(len(k)), extra])
-            tails = np.concatenate([np.zeros(len(k), np.int32), np.ones(len(extra), np.int32)])
-            where = np.concatenate([buckets, [tail_of[int(k[i])] for i in extra]]).astype(np.int64)
-            tie = np.asarray(batch.column(2))
-            yield pa.RecordBatch.from_arrays([pa.array(where), pa.array(tails), pa.array(k[rows]), pa.array(tie[rows]), pa.array([z[i] for i in rows], pa.binary())], names=["b", "tail", "k", "tie", "z"])
-
-    dealt = ids.select("k", "t", F.xxhash64("t").alias("tie")).transform(map_batches, deal, "b long, tail int, k long, tie long, z binary")
-    placed = dealt.repartitionById(n, F.col("b").cast("int")).sortWithinPartitions("b", "tail", F.desc("k"), "tie")
-
-    def compute(chain: list[tuple[int, str]]) -> pa.RecordBatch:
-        """Rows of all documents of the chain but its last, which is the next of the one before."""
-        texts = [t for _, t in chain]
-        edited = [t[: len(t) - len(t) // 2] + after[: len(t) // 2] for t, after in zip(texts, texts[1:], strict=False)]
-        own, changed = sketches(texts), sketches(edited)
-        return pa.RecordBatch.from_arrays([
-            pa.array([None if k == LOWEST else k for k, _ in chain[:-1]], pa.int64()), pa.array([len(t) for t in texts[:-1]], pa.int64()),
-            pa.array([hashlib.sha256(e.encode()).hexdigest() for e in edited]), pa.array([encode(s) for s in own[:-1]]), pa.array([encode(s) for s in changed]),
-            pa.array([likeness(a, b) for a, b in zip(own, changed, strict=False)], pa.float64()), pa.array([likeness(a, b) for a, b in zip(own, own[1:], strict=False)], pa.float64()),
-        ], names=SCHEMA.fieldNames())
+            p, tie = (np.asarray(batch.column(i)) for i in (0, 2))
+            rows: dict[tuple, int] = {}
+            for key in zip(p.tolist(), tie.tolist(), batch.column(1).to_pylist(), strict=True):
+                rows[key] = rows.get(key, 0) + 1
+            p, tie = (np.array([k[i] for k in rows], np.int64) for i in (0, 1))
+            z, counts, where = [squeeze(k[2].encode()) for k in rows], list(rows.values()), cut.of(p, tie)
+            extra = [i for i in np.flatnonzero(np.isin(p, starts)).tolist() if (int(p[i]), int(tie[i])) in tail_of]
+            every = [*range(len(p)), *extra]
+            columns = [
+                pa.array([*where.tolist(), *[tail_of[int(p[i]), int(tie[i])] for i in extra]], pa.int64()), pa.array([0] * len(p) + [1] * len(extra), pa.int32()),
+                pa.array(p[every]), pa.array(tie[every]), pa.array([counts[i] for i in every], pa.int64()), pa.array([z[i] for i in every], pa.binary()),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=["b", "tail", "p", "tie", "n", "z"])
+
+    dealt = ids.select("p", "t", F.xxhash64("t").alias("tie")).transform(map_batches, deal, "b long, tail int, p long, tie long, n long, z binary")
+    placed = dealt.repartitionById(len(cut), F.col("b").cast("int")).sortWithinPartitions("b", "tail", "p", "tie", "z")
+
+    def rows_of(made: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f) for c, f in zip(zip(*made, strict=True), (pa.int64(), pa.int64(), *[pa.string()] * 3, *[pa.float64()] * 2), strict=True)], names=SCHEMA.fieldNames())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         expand = zstandard.ZstdDecompressor().decompressobj
-        chain, size, at, closed = [], 0, None, False
+        before: tuple | None = None  # (p, text, sketch, encoded) of the document whose next is awaited
+        made, held, at, closed = [], 0, None, False
+
+        def row(a: tuple, b: tuple) -> tuple:
+            """Of a document that b follows."""
+            half = len(a[1]) // 2
+            edited = a[1][: len(a[1]) - half] + b[1][:half]
+            changed = sketch(edited)
+            return (None if a[0] == ~LOWEST else ~a[0], len(a[1]), hashlib.sha256(edited.encode()).hexdigest(), a[3], encode(changed), likeness(a[2], changed), likeness(a[2], b[2]))
+
         for batch in batches:
-            for b, tail, k, z in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(4), strict=True):
+            for b, tail, p, n, z in zip(*[batch.column(i).to_pylist() for i in (0, 1, 2, 4)], batch.column(5), strict=True):
                 if b != at:
-                    at, closed, chain, size = b, False, [], 0
-                if closed:  # further rows that share the first id of the next range
+                    at, closed, before = b, False, None
+                if closed:  # further rows equal to the first of the next range
                     continue
-                chain.append((k, expand().decompress(z.as_py()).decode()))
-                size += len(chain[-1][1])
-                if tail or size > block and len(chain) > 1:
-                    if len(chain) > 1:
-                        yield compute(chain)
-                    chain, closed = chain[-1:], bool(tail)
-                    size = len(chain[0][1])
+                t = expand().decompress(z.as_py()).decode()
+                own = (p, t, (s := sketch(t)), encode(s))
+                if before is not None:
+                    made.append(row(before, own))
+                    held += 2 * len(made[-1][3])
+                before, closed = own, bool(tail)
+                copies = row(own, own) if n > 1 and not tail else None
+                for _ in range(n - 1 if copies else 0):
+                    made.append(copies)
+                    held += 2 * len(copies[3])
+                    if held > block:
+                        yield rows_of(made)
+                        made, held = [], 0
+                if held > block:
+                    yield rows_of(made)
+                    made, held = [], 0
+        if made:
+            yield rows_of(made)
 
     return placed.transform(map_batches, run, SCHEMA)
 
 
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each row of `documents`: n_chars, sha256 of its edited text, fingerprints of both, and how like its
+    fingerprint is to the edited text's and to the next document's (by descending id, after the last the first)."""
     return fingerprint_with_next(table(spark, sf_dir, "documents"))
