@@ -57,7 +57,7 @@ def check(spark, docs, ranges=None):
 
 @pytest.fixture(scope="module")
 def some(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").where("length(text) < 3000").limit(80).collect()
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").where("length(text) < 1200").limit(40).collect()
     return [tuple(r) for r in docs]
 
 

@@ -1,4 +1,6 @@
-from collections import defaultdict
+import math
+import re
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -10,15 +12,34 @@ from tidewheel.llm.components import components
 from tidewheel.llm.texts import buffers
 
 
+def counted(text):
+    """Five-word shingles of a text and how often it has them; a shorter text is one shingle."""
+    words = re.findall(rb"[0-9A-Za-z\x80-\xff]+", (text or "").encode())
+    return Counter(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else Counter()
+
+
+def weighed(texts):
+    every = [counted(t) for t in texts]
+    frequency = Counter(s for c in every for s in c)
+    return [{s: n * math.log1p(len(texts) / frequency[s]) for s, n in c.items()} for c in every]
+
+
+def similarity(a, b):
+    both = sum(min(w, b[s]) for s, w in a.items() if s in b)
+    either = sum(a.values()) + sum(b.values()) - both
+    return both / either if either else 0.0
+
+
 def brute(docs):
     """doc -> least id of its component of weighted Jaccard links, all pairs with a common shingle compared."""
     texts = [t or "" for _, t in docs]
-    found, of, times = nd.weighed(*buffers(pa.array(texts)))
-    idf = nd.inverse_frequencies(len(texts), np.bincount(nd.bucket(found), minlength=1 << nd.TABLE_BITS))
-    vectors = nd.vectors(texts, idf)
-    having = defaultdict(list)
-    for h, i in zip(found.tolist(), of.tolist(), strict=True):
-        having[h].append(i)
+    vectors = weighed(texts)
+    having, same = defaultdict(list), defaultdict(list)
+    for i, v in enumerate(vectors):
+        same[texts[i]].append(i)
+        if same[texts[i]][0] == i:  # copies are joined below
+            for s in v:
+                having[s].append(i)
     pairs = {(a, b) for ids in having.values() for k, a in enumerate(ids) for b in ids[k + 1 :]}
     root = list(range(len(texts)))
 
@@ -27,10 +48,7 @@ def brute(docs):
             i = root[i]
         return i
 
-    same = defaultdict(list)
-    for i, t in enumerate(texts):
-        same[t].append(i)
-    joined = [(g[0], x) for g in same.values() for x in g[1:]] + [p for p in pairs if nd.weighted_jaccard(vectors[p[0]], vectors[p[1]]) >= nd.SIMILAR]
+    joined = [(g[0], x) for g in same.values() for x in g[1:]] + [p for p in pairs if similarity(vectors[p[0]], vectors[p[1]]) >= 0.8]
     for a, b in joined:
         root[find(a)] = find(b)
     least = defaultdict(lambda: 1 << 60)
@@ -41,8 +59,21 @@ def brute(docs):
 
 def check(spark, docs):
     df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("class_id", F.lit("clash")).repartition(3)
-    got = {r["doc_id"]: r["class_id"] for r in nd.classes(df).collect()}
-    assert got == brute(docs)
+    rows = nd.classes(df).collect()
+    want = brute(docs)
+    assert {r["doc_id"]: r["class_id"] for r in rows} == want
+    assert sorted(r["doc_id"] for r in rows if r["first"]) == sorted(set(want.values()))
+    texts = dict(docs)
+    vectors = dict(zip(texts, weighed(list(texts.values())), strict=True))
+    members = defaultdict(set)
+    for d, c in want.items():
+        members[c].add(d)
+    for r in rows:  # a link is a text of the class at the similarity named
+        others = {texts[d] or "" for d in members[r["class_id"]]} - {texts[r["doc_id"]] or ""}
+        assert (r["n_links"] > 0) == (len(others) > 0) == (r["similarity"] is not None)
+        if others:
+            own = [similarity(vectors[r["doc_id"]], vectors[d]) for d in members[r["class_id"]] if (texts[d] or "") in others]
+            assert min(abs(x - r["similarity"]) for x in own) < 1e-5 and r["similarity"] >= 0.8 - 1e-9
 
 
 def test_whole_table(spark):
@@ -75,7 +106,8 @@ def test_crowd_with_few_bytes_of_pivots(spark, monkeypatch):
 
 def test_pivots_compare_as_pairs_do():
     texts = [t for _, t in variants(20, 60)] + ["one", "two three four five six", "two three four five six seven", "long " * 50]
-    own = nd.vectors(texts, np.linspace(0.5, 3, 1 << nd.TABLE_BITS).astype(np.float32))
+    n = len(nd.weighed(*buffers(pa.array(texts)))[0])
+    own = nd.vectors(texts, np.linspace(0.5, 3, n).astype(np.float32))
     table = nd.Pivots(own[3:])
     for v in own:
         assert np.allclose(table.similarity(v), [nd.weighted_jaccard(p, v) for p in own[3:]])
@@ -88,8 +120,12 @@ def test_odd_texts(spark):
 
 
 def test_null_and_repeated_ids(spark):
-    df = spark.createDataFrame([(None, "x y"), (None, "z"), (3, "x y"), (3, "x y")], "doc_id long, text string")
-    assert sorted(map(str, (tuple(r) for r in nd.classes(df).collect()))) == sorted(map(str, [(None, 3, 3), (None, None, None), (3, 3, 3), (3, 3, 3)]))
+    """Texts decide: different ones of an id, or of none, are classed each by itself."""
+    near = variants(2)[0][1]
+    df = spark.createDataFrame([(None, "x y"), (None, "z"), (3, "x y"), (3, "x y"), (4, "one"), (4, "two"), (None, near + " end"), (9, near), (None, "z")], "doc_id long, text string")
+    got = [(r["doc_id"], r["text_id"], r["class_id"], r["first"]) for r in nd.classes(df).collect()]
+    want = [(None, 3, 3, False), (None, None, None, True), (None, None, None, True), (3, 3, 3, True), (3, 3, 3, True), (4, 4, 4, True), (4, 4, 4, True), (None, None, 9, False), (9, 9, 9, True)]
+    assert sorted(map(str, got)) == sorted(map(str, want))
 
 
 def test_components_of_tasks_that_pass_on_early(spark, monkeypatch):
@@ -116,19 +152,13 @@ def test_components(spark):
     assert got == {(i, 0) for i in range(41)} | {(100, 100), (101, 100), (102, 100)}
 
 
-def test_frequencies_are_of_shingles_not_of_buckets(spark):
+def test_frequencies_are_of_all_documents(spark):
+    """The same two texts are alike or not, as other documents make what they share common or rare."""
     base = [f"s{i}" for i in range(26)]
     a, b = " ".join(base), " ".join(base[:24] + ["other", "end"])
-    (x, *_), (y, *_) = nd.vectors([a, b], np.ones(1 << nd.TABLE_BITS, np.float32))
-    shared = np.unique(nd.bucket(np.intersect1d(x, y)))
-    clash = []  # unrelated texts of one shingle each, in the buckets of the shared ones
-    for begin in range(0, 4_000_000, 200_000):
-        texts = [f"u{i} v w x y" for i in range(begin, begin + 200_000)]
-        found, of, _ = nd.weighed(*buffers(pa.array(texts)))
-        clash += [texts[i] for i in of[np.isin(nd.bucket(found), shared)]]
-    docs = [(1, a), (2, b), *((10 + i, t) for i, t in enumerate(clash))]
-    of_two, of_one = np.log1p(len(docs) / 2), np.log1p(len(docs))
-    assert 20 * of_two / (20 * of_two + 4 * of_one) > nd.SIMILAR
-    assert brute(docs)[2] == 2  # by bucket they are unlike
-    got = {r["doc_id"]: r["class_id"] for r in nd.classes(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()}
-    assert got[2] == 1 and all(got[d] == d for d, _ in docs if d != 2)
+    shared = [(10 + i, " ".join(base[:24])) for i in range(30)]
+    apart = [(100 + i, " ".join(base[20:24] + [w, x, f"k{i}"])) for i in range(30) for w, x in [["other", "end"]]] + [(200 + i, " ".join(base[20:26]) + f" m{i}") for i in range(30)]
+    few, many = brute([(1, a), (2, b), *shared]), brute([(1, a), (2, b), *apart])
+    assert few[2] == 2 and many[2] == 1
+    for docs in ([(1, a), (2, b), *shared], [(1, a), (2, b), *apart]):
+        check(spark, docs)

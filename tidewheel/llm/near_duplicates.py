@@ -28,16 +28,15 @@ from tidewheel.llm.arrow import map_batches
 from tidewheel.llm.components import components
 from tidewheel.llm.membership import build
 from tidewheel.llm.texts import STEP, buffers, byte_slices, mix, shingles, words
-from tidewheel.sources.shared import materialise
+from tidewheel.sources.shared import materialise, release
 from tidewheel.sources.tables import table
 
 WIDTH = 5
 SIMILAR = 0.8
 BANDS, ROWS = 16, 4
-TABLE_BITS = 20
 BLOCK = 1 << 21
-PART_BYTES = 32 << 20
-LEAST_PARTS = 64
+PART_BYTES = 16 << 20
+LEAST_PARTS = 8
 LINKED = SIMILAR - 1e-12
 PIVOTS = 1024
 PIVOT_BYTES = 16 << 20
@@ -63,10 +62,6 @@ def weighed(data: np.ndarray, at: np.ndarray, width: int = WIDTH) -> tuple[np.nd
     return found[starts], of[starts], np.diff(np.append(starts, len(found)))
 
 
-def bucket(found: np.ndarray) -> np.ndarray:
-    return (found >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
-
-
 def in_blocks(docs: DataFrame) -> DataFrame:
     """(block, docs, bytes, z): runs of (id, h, t) rows, compressed. Numbers of blocks hold only once they are written."""
 
@@ -127,17 +122,13 @@ def document_frequencies(blocks: DataFrame, parts: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([run.column(1), run.column(0), z], names=["block", "part", "z"])
 
     dealt = blocks.select("block", "z").transform(map_batches, deal, "part long, block long, found binary, times binary")
-    return dealt.repartition("part").sortWithinPartitions("part").transform(map_batches, add, "block long, part long, z binary")
+    return dealt.repartitionById(parts, F.col("part").cast("int")).sortWithinPartitions("part").transform(map_batches, add, "block long, part long, z binary")
 
 
 def inverse_frequencies(documents: int, frequencies: np.ndarray) -> np.ndarray:
     return np.log1p(max(1, documents) / np.maximum(frequencies, 1)).astype(np.float32)
 
 
-def weights_of(found: np.ndarray, times: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    return times.astype(np.float32) * idf[bucket(found)]
-
-
 def band_keys(found: np.ndarray, of: np.ndarray, weights: np.ndarray, texts: int) -> list[np.ndarray | None]:
     """BANDS keys of each text; None where a text has no shingle."""
     if not len(found):
@@ -176,10 +167,10 @@ def band_keys(found: np.ndarray, of: np.ndarray, weights: np.ndarray, texts: int
 Vector = tuple[np.ndarray, np.ndarray, float]
 
 
-def vectors(texts: list[str], idf: np.ndarray, own: np.ndarray | None = None) -> list[Vector]:
-    """Vectors of texts by a table of inverse frequencies by bucket, or by `own` ones of their distinct shingles in order."""
+def vectors(texts: list[str], idf: np.ndarray) -> list[Vector]:
+    """Vectors of texts by the inverse frequencies of their distinct shingles, in order."""
     found, of, times = weighed(*buffers(pa.array(texts, pa.large_string())))
-    w = (weights_of(found, times, idf) if own is None else times.astype(np.float32) * own).astype(np.float64)
+    w = (times.astype(np.float32) * idf).astype(np.float64)
     ends = np.searchsorted(of, np.arange(len(texts) + 1))
     return [(found[a:b], w[a:b], float(w[a:b].sum())) for a, b in zip(ends, ends[1:], strict=False)]
 
@@ -238,8 +229,8 @@ class Pivots:
 
 
 def links(active: DataFrame, texts: DataFrame, documents: int) -> DataFrame:
-    """Links (a, b) that connect all similar members of each key: (key, id, size) rows, (id, z, f) compressed texts and
-    document frequencies of their distinct shingles.
+    """Links (a, b) at distance d, a > b, that connect all similar members of each key: (key, id, size) rows, (id, z, f)
+    compressed texts and document frequencies of their distinct shingles.
 
     Keys of few members are compared at once, all members being pivots. A larger key starts with one
     pivot. From then on only members outside the component that most of the key belongs to can still
@@ -264,7 +255,7 @@ def links(active: DataFrame, texts: DataFrame, documents: int) -> DataFrame:
                 while begin < end:
                     upto = begin + max(1, int(np.searchsorted(np.cumsum(size[begin:end]), 1 << 19, "right")))
                     own = np.concatenate([np.frombuffer(expand().decompress(f[i].as_py()), np.int32) for i in range(begin, upto)])
-                    yield from vectors([expand().decompress(z[i].as_py()).decode() for i in range(begin, upto)], None, inverse_frequencies(documents, own))
+                    yield from vectors([expand().decompress(z[i].as_py()).decode() for i in range(begin, upto)], inverse_frequencies(documents, own))
                     begin = upto
 
             for run in groups(batches, 2):
@@ -284,20 +275,21 @@ def links(active: DataFrame, texts: DataFrame, documents: int) -> DataFrame:
 
                 out: list[tuple] = []  # kind 0: link (a, b); 1: nearest unlinked member of pivot b, at distance d; 2: member a, nearest near pivot b
                 for i in range(n) if not part else ():
-                    for j in np.flatnonzero(pivots.similarity(own[i])[:i] >= LINKED).tolist():
+                    like = pivots.similarity(own[i])
+                    for j in np.flatnonzero(like[:i] >= LINKED).tolist():
                         a, b = find(i), find(j)
                         if a != b:
                             root[max(a, b)] = min(a, b)
-                            out.append((key, 0, pivot_ids[i], pivot_ids[j], 0, 0.0))
+                            out.append((key, 0, pivot_ids[i], pivot_ids[j], 0, float(1 - like[j])))
                 far = np.ones(n)
                 for i, vector in enumerate(read(z, f, size, n, len(ids)), n):
                     like = pivots.similarity(vector)
                     near = like >= LINKED
                     far = np.where(near, far, np.minimum(far, 1 - like))
                     x, joined = int(ids[i]), {}
-                    for j in np.flatnonzero(near).tolist():
+                    for j in sorted(np.flatnonzero(near).tolist(), key=lambda j: -like[j]):
                         joined.setdefault(find(j), j)
-                    out += [(key, 0, x, pivot_ids[j], 0, 0.0) for j in joined.values()]
+                    out += [(key, 0, x, pivot_ids[j], 0, float(1 - like[j])) for j in joined.values()]
                     if tag[i] == 1:
                         best = int(np.argmax(like))
                         out.append((key, 2, x, pivot_ids[best] if near[best] else None, int(size[i]), float(1 - like[best])))
@@ -307,14 +299,14 @@ def links(active: DataFrame, texts: DataFrame, documents: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (*[pa.int64()] * 5, pa.float64()), strict=True)], names=["key", "kind", "a", "b", "size", "d"])
 
         seen = materialise(placed.transform(map_batches, compare, "key long, kind long, a long, b long, size long, d double"), "links")
-        linked = seen.where("kind = 0").select("a", "b")
+        linked = seen.where("kind = 0").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"), "d")
         found = linked if found is None else found.unionByName(linked)
         gap = seen.where("kind = 1").groupBy("key", "b").agg(F.min("d").alias("far"))
         bridge = F.col("far") - (1 - SIMILAR) - 1e-9
         left = seen.where("kind = 2").join(gap, ["key", "b"], "left").where(F.col("b").isNull() | (F.col("d") >= bridge)).select("key", F.col("a").alias("id"), "size")
         active = materialise(left, "active")
         if active.isEmpty():
-            return found.distinct()
+            return found.groupBy("a", "b").agg(F.min("d").alias("d"))
         labelled = active.join(components(found), F.col("id") == F.col("node"), "left").select("key", "id", "size", F.coalesce("root", "id").alias("label"))
         labelled = materialise(labelled, "labelled")
         crowds = labelled.groupBy("key", "label").agg(F.count("*").alias("c"), F.sum("size").alias("s"))
@@ -329,14 +321,28 @@ def links(active: DataFrame, texts: DataFrame, documents: int) -> DataFrame:
         state = materialise(apart.join(chosen, ["key", "id"], "left").select("key", "id", "size", "n", F.coalesce("pivot", F.lit(False)).alias("pivot"), "more"), "round")
 
 
-def classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, text_id, class_id) for each row: the least id of equal texts and the least of the class.
+LOWEST = -(1 << 63)
 
-    A class holds the texts that links of weighted similarity SIMILAR or more connect; without links it
-    is a text and its copies. Null texts are empty. Texts without a word are classed with equal texts
-    only. Ids that repeat stand for the same document; rows with a null id join the class of an equal
-    text, and have null ids and class if no row of that text has an id. An empty table gives an empty
-    one; other columns are ignored.
+
+def text_key(ids: pa.Array, hashes: pa.Array) -> np.ndarray:
+    """64 well-mixed bits of an id and a 16-byte hash."""
+    h = np.frombuffer(b"".join(hashes.to_pylist()), np.uint64).reshape(-1, 2)[:, 0]
+    return mix(np.asarray(ids).view(np.uint64) * STEP ^ h)
+
+
+def classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, text_hash, text_id, class_id, first, n_links, similarity) for each row.
+
+    `text_id` is the least id of equal texts, `class_id` the least of the class: the texts that links
+    of weighted similarity SIMILAR or more connect; without links a text and its copies. `first` marks
+    one text of each class, that of the least id (null ids last, ties by hash), in its rows of that id.
+    `n_links` counts the links found at the text, enough to connect its class though not all that
+    exist, and `similarity` is the greatest of theirs, null without any. `text_hash` is the text's md5.
+
+    Null texts are empty. Texts without a word are classed with equal texts only; very long texts are
+    texts like others. Texts decide, not ids: different texts that share an id, or have none, are
+    classed each by itself, and ids are null only where no row of the class has one. An empty table
+    gives an empty one; other columns are ignored.
     """
     spark = df.sparkSession
     docs = df.select(F.col(doc_id).cast("long").alias("id"), F.coalesce(text, F.lit("")).alias("t"))
@@ -362,8 +368,10 @@ def classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), length, bands, pa.array(packed, pa.binary())], names=["id", "h", "size", "bands", "f"])
 
     signed = materialise(placed.transform(map_batches, sign, "id long, h binary, size long, bands binary, f binary"), "signatures")
+    release(blocks)
     firsts = [F.first(c).alias(c) for c in ("size", "bands", "f")]  # equal texts have equal ones
-    distinct = materialise(signed.groupBy("h").agg(F.min("id").alias("id"), *firsts), "distinct")
+    distinct = signed.groupBy("h").agg(F.min("id").alias("id"), *firsts)
+    distinct = materialise(distinct.withColumn("node", F.monotonically_increasing_id()), "distinct")  # numbers hold once written
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         salt = mix(np.arange(BANDS, dtype=np.uint64) * STEP)
@@ -372,35 +380,44 @@ def classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
             where = pa.array(np.repeat(np.arange(len(keys)), BANDS))
             yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), batch.column(0).take(where), batch.column(1).take(where)], names=["key", "id", "size"])
 
-    banded = distinct.where("bands IS NOT NULL AND id IS NOT NULL").select("id", "size", "bands").transform(map_batches, spread, "key long, id long, size long")
+    banded = distinct.where("bands IS NOT NULL").select("node", "size", "bands").transform(map_batches, spread, "key long, id long, size long")
     shared = banded.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("low"), F.bit_xor(F.xxhash64("id")).alias("x"), F.sum(F.shiftright(F.xxhash64("id"), 24)).alias("s")).where("n > 1")
     once = shared.groupBy("n", "low", "x", "s").agg(F.min("key").alias("key")).select("key")  # keys with the same members count once
     active = materialise(banded.join(once, "key"), "candidates")
 
-    def id_key(column: pa.Array) -> np.ndarray:
-        return mix(np.asarray(column).view(np.uint64) * STEP)
-
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(id_key(batch.column(0)).view(np.int64))], names=["key"])
+            yield pa.RecordBatch.from_arrays([pa.array(text_key(batch.column(0), batch.column(1)).view(np.int64))], names=["key"])
 
-    needed = active.select("id").distinct()
-    shared_filter = spark.sparkContext.broadcast(build(needed.transform(map_batches, keys, "key long")))  # 32 MB at most
+    wanted = distinct.join(active.select(F.col("id").alias("node")).distinct(), "node", "left_semi").select("node", F.coalesce("id", F.lit(LOWEST)).alias("id"), "h", "f")
+    wanted = materialise(wanted, "wanted")
+    shared_filter = spark.sparkContext.broadcast(build(wanted.select("id", "h").transform(map_batches, keys, "key long")))  # 32 MB at most
 
     def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=3, write_checksum=False).compress
         for batch in batches:
-            own = batch.filter(pa.array(shared_filter.value.might_hold(id_key(batch.column(0)))))
+            own = batch.filter(pa.array(shared_filter.value.might_hold(text_key(batch.column(0), batch.column(2)))))
+            rows = {k: i for i, k in enumerate(zip(own.column(0).to_pylist(), own.column(2).to_pylist(), strict=True))}
+            own = own.take(pa.array(list(rows.values()), pa.int64()))  # repeated rows once
             yield pa.RecordBatch.from_arrays([own.column(0), own.column(2), pa.array([pack(t.as_py().encode()) for t in own.column(1)], pa.binary())], names=["id", "h", "z"])
 
-    texts = docs.where("id IS NOT NULL").select("id", "t", F.unhex(F.md5("t")).alias("h")).transform(map_batches, squeeze, "id long, h binary, z binary")
-    texts = texts.join(distinct.join(needed, "id", "left_semi").select("id", "h", "f"), ["id", "h"])
-    texts = materialise(texts.groupBy("id").agg(F.min(F.struct("z", "f")).alias("own")).select("id", "own.z", "own.f"), "texts")
-    roots = components(links(active, texts, documents))
-    named = distinct.select("h", F.col("id").alias("text_id")).join(roots, F.col("text_id") == F.col("node"), "left")
-    named = named.select("h", "text_id", F.coalesce("root", "text_id").alias("class_id"))
-    return signed.select(F.col("id").alias("doc_id"), "h").join(named, "h").select("doc_id", "text_id", "class_id")
+    texts = docs.select(F.coalesce("id", F.lit(LOWEST)).alias("id"), "t", F.unhex(F.md5("t")).alias("h")).transform(map_batches, squeeze, "id long, h binary, z binary")
+    texts = texts.join(wanted, ["id", "h"])
+    texts = materialise(texts.groupBy("node").agg(F.min(F.struct("z", "f")).alias("own")).select(F.col("node").alias("id"), "own.z", "own.f"), "texts")
+    linked = materialise(links(active, texts, documents), "linked")
+    release(texts, active, wanted)
+    ends = linked.select(F.explode(F.array("a", "b")).alias("node"), "d").groupBy("node").agg(F.count("*").alias("n_links"), (1 - F.min("d")).alias("similarity"))
+    named = distinct.select("h", "node", F.col("id").alias("text_id")).join(components(linked), "node", "left").join(ends, "node", "left")
+    placed_first = F.struct(F.col("text_id").isNull().alias("null"), F.col("text_id").alias("id"), "h")
+    least = named.where("root IS NOT NULL").groupBy("root").agg(F.min(placed_first).alias("least"))
+    named = named.join(least, "root", "left").withColumn("least", F.coalesce("least", placed_first))
+    named = named.select("h", "text_id", F.col("least.id").alias("class_id"), (F.col("h") == F.col("least.h")).alias("leads"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "similarity")
+    rows = signed.select(F.col("id").alias("doc_id"), "h").join(named, "h")
+    first = F.col("leads") & F.col("doc_id").eqNullSafe(F.col("text_id"))
+    return rows.select("doc_id", F.col("h").alias("text_hash"), "text_id", "class_id", first.alias("first"), "n_links", "similarity")
 
 
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return classes(table(spark, sf_dir, "documents"))
+    """A row for each row of `documents`: the least id of its text, the least id of its class, how many links were found at
+    its text and the greatest similarity among them."""
+    return classes(table(spark, sf_dir, "documents")).select("doc_id", "text_id", "class_id", "n_links", "similarity")
