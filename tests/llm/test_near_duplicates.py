@@ -95,13 +95,13 @@ def variants(n, words=200, seed=1):
 def test_crowd_of_near_copies_with_small_rounds(spark, monkeypatch):
     monkeypatch.setattr(nd, "PIVOTS", 3)
     monkeypatch.setattr(nd, "MEMBERS", 5)
-    check(spark, variants(60))
+    check(spark, variants(24))
 
 
 def test_crowd_with_few_bytes_of_pivots(spark, monkeypatch):
     monkeypatch.setattr(nd, "PIVOT_BYTES", 3000)
     monkeypatch.setattr(nd, "MEMBERS", 16)
-    check(spark, variants(40, seed=2))
+    check(spark, variants(14, seed=2))
 
 
 def test_pivots_compare_as_pairs_do():
