@@ -18,39 +18,58 @@ from tidewheel.sources.shared import materialise
 from tidewheel.sources.tables import table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: A language is rejected as a guess below this score; a machine that prefers one language gives more.
-GUESS = 0.5
 #: SQL has no string kernels, samplings or tokenizers; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is known. Null texts, texts without a letter and mere guesses go; empty input stays empty."""
+    """Documents whose language is known. Null texts and texts without a letter go, all others stay, however short or
+    long. Rows are judged one by one, so repeated rows and ids share their fate; empty input stays empty."""
     found = identify(docs.select(*COLUMNS), fit_language(docs))
-    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= GUESS)).select(*COLUMNS)
+    return found.where(F.col("lang_pred") != UNKNOWN).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least id of each class of near-duplicates, one row of it. Of rows without id, one of each text."""
-    kept = classes(docs).where("class_id = doc_id").select("doc_id").distinct()
-    named = docs.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id IS NULL").dropDuplicates(["text"])).select(*COLUMNS)
+    """One document of each class of near-duplicates, that of the least id (null ids last, ties by hash of the text).
+
+    Texts decide: different texts that share an id, or have none, all stay unless another stands for
+    them. Of rows that repeat id and text the least by language, source and length stays. Null texts
+    are empty. Empty input stays empty.
+    """
+    kept = classes(docs).where("first").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__h")).distinct()
+    hashed = docs.withColumn("__text", F.unhex(F.md5(F.coalesce("text", F.lit("")))))
+    chosen = hashed.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__h")), "left_semi")
+    one = chosen.groupBy("doc_id", "__text").agg(F.min(F.struct("lang", "source", "n_chars", "text")).alias("row"))
+    return one.select("doc_id", "row.*").select(*COLUMNS)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, their text without strings of 200 bytes that occur again anywhere; a text may become empty."""
+    """All documents, their text without strings of 200 bytes that occur again anywhere; a text may become empty.
+
+    Null texts become empty, null ids stay, repeated rows are occurrences of their own, so both lose
+    what they share. Very long texts are read in pieces. Empty input stays empty.
+    """
     kept = remove_repeats(docs, keep_text=True, carry=["lang", "source"])
     return kept.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document at least once, those of small sources up to twice, by temperature."""
+    """Every document at least once, those of small sources up to twice, by temperature, in order of the mixture.
+
+    Rows are stored by position, so sources interleave by weight and copies are a pass apart. A null
+    source is a source, rows without tokens go with their source, repeated rows are documents of their
+    own. Empty input stays empty.
+    """
     mixed, _ = mix(docs, max_repeats=2.0)
-    return mixed.select(*COLUMNS)
+    return mixed.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id").select(*COLUMNS)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents laid into sequences of at most 1024 tokens."""
+    """Pieces of documents laid into sequences of at most 1024 tokens.
+
+    Null and empty texts are an end id, repeated rows are documents of their own, long texts are cut
+    into full sequences first. Empty input gives no rows.
+    """
     return pack(docs, gpt_bytes())
 
 
