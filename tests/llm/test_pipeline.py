@@ -3,10 +3,11 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers as P
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline as cp
-from tidewheel.llm import near_duplicates, repeats
+from tidewheel.llm import mixing, near_duplicates, repeats
 from tidewheel.sources.shared import materialise
 
 SF = "/root/testdata/sf0.001"
@@ -24,7 +25,7 @@ def test_stages(spark):
     assert {r["doc_id"] for r in docs.select("doc_id").collect()} - {r["doc_id"] for r in known.select("doc_id").collect()} == {5000, 5001}
 
     unique = materialise(stages["MinHash near-dedup"](spark, known, SF), "t2")
-    want = {r["doc_id"] for r in near_duplicates.classes(known).where("doc_id = class_id").collect()}
+    want = {r["doc_id"] for r in near_duplicates.classes(known).where("first").collect()}
     ids = [r["doc_id"] for r in unique.select("doc_id").collect()]
     assert set(ids) == want and len(ids) == len(want) and 5002 not in want
 
@@ -42,6 +43,15 @@ def test_stages(spark):
 
     mixed = materialise(stages["mixing sources"](spark, fresh, SF), "t4")
     assert mixed.columns == cp.COLUMNS and {r["doc_id"] for r in mixed.select("doc_id").collect()} == set(ids)
+    place = {}
+    for r in mixing.mix(fresh, max_repeats=2.0)[0].collect():
+        place.setdefault(r["doc_id"], []).append(r["position"])
+    files = sorted({r["f"] for r in mixed.selectExpr("input_file_name() AS f").collect()})
+    stored = [r["doc_id"] for f in files for r in spark.read.parquet(f).collect()]
+    assert sorted(stored) == sorted(d for d, p in place.items() for _ in p)
+    assert all(a != b for a, b in zip(stored, stored[1:])), "copies of a document are not neighbours"
+    at = sorted((p, d) for d, ps in place.items() for p in ps)
+    assert stored == [d for _, d in at]
 
     rows = stages["packing"](spark, mixed, SF).collect()
     exact = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
@@ -63,3 +73,19 @@ def test_run_and_empty(spark):
         if empty.columns != cp.COLUMNS:
             break
         empty = materialise(empty, "none")
+
+
+def test_near_duplicates_lose_no_text(spark):
+    """Repeated and null ids, copies of every kind, a very long text and columns that do not belong."""
+    long = " ".join(f"w{i}" for i in range(120_000))
+    near = " ".join(f"v{i}" for i in range(300))
+    rows = [(1, "first text here", "en", "a"), (1, "another text here", "en", "a"), (1, "another text here", "de", "b"), (2, "first text here", "en", "a"), (3, long, "en", "a"), (4, long + " end", "en", "a")]
+    rows += [(None, "a text without id", "en", "a"), (None, "a text without id", "en", "b"), (None, near, "en", "a"), (7, near + " more", "en", "a"), (8, None, "en", "a"), (9, "", "en", "a"), (5, near + " other", "en", None)]
+    df = spark.createDataFrame([(*r, len(r[1] or ""), "clash", "clash", "clash") for r in rows], "doc_id long, text string, lang string, source string, n_chars long, class_id string, first string, block string").repartition(3)
+    got = [(r["doc_id"], r["text"], r["lang"], r["source"]) for r in cp.near_duplicates(spark, df, SF).collect()]
+    want = [rows[0], (1, "another text here", "de", "b"), rows[4], rows[6], rows[12], rows[10]]
+    assert sorted(map(str, got)) == sorted(map(str, want))
+    docs = df.select(*cp.COLUMNS, "class_id", "first", "block")
+    for name, stage in cp.STAGES[:-1]:
+        docs = materialise(stage(spark, docs, SF), "odd").withColumns({c: F.lit("clash") for c in ("class_id", "block", "position", "lang_pred")})
+    assert docs.count() > 0 and cp.packing(spark, docs, SF).count() > 0
