@@ -2,6 +2,7 @@ import hashlib
 import random
 from collections import Counter
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tidewheel.llm import repeats
@@ -63,3 +64,32 @@ def test_whole_table(spark):
 
 def test_empty(spark):
     assert repeats.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_texts_are_parsed_in_pieces(monkeypatch):
+    """Wherever a text is cut, each start is in one context, and equal strings share the half that is compared."""
+    monkeypatch.setattr(repeats, "LONG", 333)
+    docs = [t for _, t in planted(5) if t]
+    docs += ["".join(docs[:12]), "".join(docs[5:15])]
+    keys = {}
+    for i, text in enumerate(docs):
+        data = text.encode()
+        for _, _, c in repeats.parsed(pa.array([text])):
+            for i0, i1, t, r, left, base in zip(*[c[n].tolist() for n in ("i0", "i1", "t", "r", "l", "base")]):
+                for start in range(i0, i1 + 1):
+                    place = (i, start - base)
+                    assert place not in keys
+                    keys[place] = (data[place[1] : place[1] + 200], r if start >= t - repeats.HALF else left)
+    assert len(keys) == sum(max(0, len(t.encode()) - 199) for t in docs)
+    of = {}
+    for string, key in keys.values():
+        assert key and of.setdefault(string, key) == key
+
+
+def test_a_text_of_megabytes(spark):
+    r = random.Random(8)
+    long = "".join(r.choices("abcdefgh ", k=3_000_000))
+    passage = long[1_048_500:1_048_900]  # across the end of a piece
+    df = spark.createDataFrame([(1, long), (2, "before#" + passage + "#after"), (3, "q" * 1_500_000)], "doc_id long, text string")
+    got = {x["doc_id"]: (x["n_removed"], x["n_spans"]) for x in repeats.remove_repeats(df).collect()}
+    assert got == {1: (400, 1), 2: (400, 1), 3: (1_500_000, 1)}

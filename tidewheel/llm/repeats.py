@@ -11,7 +11,9 @@ it (a suffix of a dictionary entry). So only contexts that share such a half are
 start: their suffixes, cut at SPAN bytes, meet in groups of one half, where sorting them brings equal
 ones side by side. Halves shared by very many contexts are compared through an aggregation instead.
 
-Suffixes are ordered by 128-bit fingerprints instead of letters: only equality over SPAN bytes counts.
+Suffixes are ordered by two independent 64-bit fingerprints of all their SPAN bytes, and entries by two
+of all of theirs, instead of letters: only equality counts. A text above LONG bytes is parsed in pieces
+that hold all bytes of their starts; a context cut at a piece's end is one more entry.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ from tidewheel.llm.arrow import map_batches
 from tidewheel.llm.membership import build
 from tidewheel.llm.near_duplicates import groups
 from tidewheel.llm.texts import STEP, _power, buffers, byte_slices, mix
-from tidewheel.sources.shared import materialise
+from tidewheel.sources.shared import materialise, release
 from tidewheel.sources.tables import table
 
 SPAN = 200
@@ -38,6 +40,7 @@ GRAM = 16
 HALF = 100
 CROWD = 2048
 FLUSH = 1 << 18
+LONG = 1 << 20
 
 _U = np.uint64
 _BASES = (0x100000001B3, 0x9E3779B97F4A7C15 | 1)
@@ -60,11 +63,12 @@ class Prints:
 
 
 def parse(data: np.ndarray, at: np.ndarray, prints: Prints) -> dict[str, np.ndarray]:
-    """Contexts of all texts: text number, first and last start (i0, i1) and trigger t, and keys u, r, l (0: none)."""
+    """Contexts of all texts: text number, first and last start (i0, i1) and trigger t, two prints u, v of their bytes and
+    keys r, l of their halves (0: none)."""
     empty = np.zeros(0, np.int64)
     n = len(data)
     if n < SPAN:
-        return dict.fromkeys("doc i0 i1 t".split(), empty) | dict.fromkeys("u r l".split(), np.zeros(0, _U))
+        return dict.fromkeys("doc i0 i1 t".split(), empty) | dict.fromkeys("u v r l".split(), np.zeros(0, _U))
     at = at.astype(np.int64)
     grams = np.arange(n - GRAM + 1)
     least = prints.of(0, grams, grams + GRAM) & _U(0xFFFFFFFF00000000) | grams.astype(_U)
@@ -83,11 +87,11 @@ def parse(data: np.ndarray, at: np.ndarray, prints: Prints) -> dict[str, np.ndar
     first = np.flatnonzero(np.concatenate([[True], (trigger[1:] != trigger[:-1]) | (doc[1:] != doc[:-1])]))
     last = np.append(first[1:], len(start)) - 1
     i0, i1, t = start[first], start[last], trigger[first]
-    u = prints.of(0, i0, i1 + SPAN)
+    u, v = (prints.of(which, i0, i1 + SPAN) for which in (0, 1))
     right, left = i1 >= t - HALF, i0 < t - HALF  # it has starts at most HALF before the trigger; further before
     r = np.where(right, prints.of(1, t, np.minimum(t + HALF, n)) | _U(1), _NONE)
     l = np.where(left, prints.of(1, np.maximum(t - HALF, 0), t) & ~_U(1) | _U(2), _NONE)
-    return {"doc": doc[first], "i0": i0, "i1": i1, "t": t, "u": u, "r": r, "l": l}
+    return {"doc": doc[first], "i0": i0, "i1": i1, "t": t, "u": u, "v": v, "r": r, "l": l}
 
 
 def signed(x: np.ndarray) -> pa.Array:
@@ -95,18 +99,27 @@ def signed(x: np.ndarray) -> pa.Array:
 
 
 def class_key(c: dict) -> np.ndarray:
-    return mix(c["u"] ^ mix(c["r"] + STEP) ^ mix(c["l"] * STEP))
+    return mix(c["u"] ^ mix(c["v"] + STEP))
 
 
-def parsed(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, Prints, dict]]:
+def parsed(column: pa.Array) -> Iterator[tuple[np.ndarray, Prints, dict]]:
+    """Bytes, their prints and contexts, `doc` being the row and `base` what a place is counted from."""
     for begin, end in byte_slices(column):
         data, at = buffers(column.slice(begin, end - begin))
-        prints = Prints(data)
-        yield begin, data, at, prints, parse(data, at, prints)
+        if len(at) == 2 and len(data) > LONG:
+            pieces = [(data[a : a + LONG + SPAN - 1], np.array([0, min(LONG + SPAN - 1, len(data) - a)]), a) for a in range(0, len(data) - SPAN + 1, LONG)]
+        else:
+            pieces = [(data, at, 0)]
+        for own, ends, skipped in pieces:
+            prints = Prints(own)
+            c = parse(own, ends, prints)
+            c["base"] = ends[c["doc"]] - skipped
+            c["doc"] = c["doc"] + begin
+            yield own, prints, c
 
 
 def dictionary(texts: DataFrame) -> DataFrame:
-    """(u, r, l, n, rows): entries of the corpus, occurrences, and tasks' flushes that have them."""
+    """(u, v, r, l, n, rows): entries of the corpus, occurrences, and tasks' flushes that have them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -114,22 +127,22 @@ def dictionary(texts: DataFrame) -> DataFrame:
 
         def flush() -> pa.RecordBatch:
             nonlocal held, size
-            x = np.concatenate(held, axis=1) if held else np.zeros((3, 0), _U)
+            x = np.concatenate(held, axis=1) if held else np.zeros((4, 0), _U)
             held, size = [], 0
-            x = x[:, np.lexsort(x)]
+            x = x[:, np.argsort(x[0])]
             first = np.flatnonzero(np.concatenate([[True] * min(1, x.shape[1]), (x[:, 1:] != x[:, :-1]).any(axis=0)]))
             n = np.diff(np.append(first, x.shape[1]))
-            return pa.RecordBatch.from_arrays([*[signed(row[first]) for row in x], pa.array(n, pa.int64())], names=["u", "r", "l", "n"])
+            return pa.RecordBatch.from_arrays([*[signed(row[first]) for row in x], pa.array(n, pa.int64())], names=["u", "v", "r", "l", "n"])
 
         for batch in batches:
-            for _, _, _, _, c in parsed(batch.column(0)):
-                held.append(np.stack([c["u"], c["r"], c["l"]]))
+            for _, _, c in parsed(batch.column(0)):
+                held.append(np.stack([c["u"], c["v"], c["r"], c["l"]]))
                 size += len(c["u"])
                 if size >= FLUSH:
                     yield flush()
         yield flush()
 
-    return texts.transform(map_batches, run, "u long, r long, l long, n long").groupBy("u", "r", "l").agg(F.sum("n").alias("n"), F.count("*").alias("rows"))
+    return texts.transform(map_batches, run, "u long, v long, r long, l long, n long").groupBy("u", "v", "r", "l").agg(F.sum("n").alias("n"), F.count("*").alias("rows"))
 
 
 def repeated_starts(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -137,34 +150,34 @@ def repeated_starts(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     spark = df.sparkSession
     docs = df.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63))).alias("k"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("h"), F.coalesce(text, F.lit("")).alias("t"))
     entries = dictionary(docs.select("t"))
-    again = entries.where("n > 1").select(F.lit(0).alias("kind"), "u", "r", "l", F.lit(0).cast("long").alias("rows"))
+    again = entries.where("n > 1").select(F.lit(0).alias("kind"), "u", "v")
     sides = entries.select(F.explode(F.array("r", "l")).alias("u"), "rows").where("u <> 0")
     halves = sides.groupBy("u").agg(F.count("*").alias("n"), F.sum("rows").alias("rows")).where("n > 1")
-    halves = halves.select(F.when(F.col("rows") > CROWD, F.lit(2)).otherwise(F.lit(1)).alias("kind"), "u", F.lit(0).cast("long").alias("r"), F.lit(0).cast("long").alias("l"), "rows")
+    halves = halves.select(F.when(F.col("rows") > CROWD, F.lit(2)).otherwise(F.lit(1)).alias("kind"), "u", F.lit(0).cast("long").alias("v"))
     known = materialise(again.unionByName(halves), "known")
 
     def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            c = {n: np.asarray(batch.column(i)).view(_U) for i, n in enumerate("url")}
+            c = {n: np.asarray(batch.column(i)).view(_U) for i, n in enumerate("uv")}
             yield pa.RecordBatch.from_arrays([signed(class_key(c))], names=["key"])
 
-    filters = spark.sparkContext.broadcast([build(known.where("kind = 0").select("u", "r", "l").transform(map_batches, key, "key long")), build(known.where("kind > 0").select("u")), build(known.where("kind = 2").select("u"))])
+    filters = spark.sparkContext.broadcast([build(known.where("kind = 0").select("u", "v").transform(map_batches, key, "key long")), build(known.where("kind > 0").select("u")), build(known.where("kind = 2").select("u"))])
 
-    names = ["kind", "u", "r", "l", "k", "h", "i0", "i1", "bytes"]
+    names = ["kind", "u", "v", "k", "h", "i0", "i1", "bytes"]
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """kind 0: contexts whose entry may occur again; 1: bytes of half contexts to compare; 2: starts of crowded halves."""
         classes, halves, crowded = filters.value
         for batch in batches:
             k, h = np.asarray(batch.column(0)), np.asarray(batch.column(1))
-            for begin, data, at, prints, c in parsed(batch.column(2)):
+            for data, prints, c in parsed(batch.column(2)):
                 if not len(c["u"]):
                     continue
-                doc, base = c["doc"] + begin, at[c["doc"]]
+                doc, base = c["doc"], c["base"]
                 repeats = classes.might_hold(class_key(c))
                 rows = np.flatnonzero(repeats)
                 none = pa.nulls(len(rows), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(rows), np.int64)), signed(c["u"][rows]), signed(c["r"][rows]), signed(c["l"][rows]), pa.array(k[doc[rows]]), pa.array(h[doc[rows]]), pa.array((c["i0"] - base)[rows]), pa.array((c["i1"] - base)[rows]), none], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(rows), np.int64)), signed(c["u"][rows]), signed(c["v"][rows]), pa.array(k[doc[rows]]), pa.array(h[doc[rows]]), pa.array((c["i0"] - base)[rows]), pa.array((c["i1"] - base)[rows]), none], names=names)
                 once = np.ones(len(repeats), bool)  # of an entry that may occur again one context is evidence enough
                 _, kept = np.unique(c["u"][repeats], return_index=True)
                 once[rows] = False
@@ -177,7 +190,7 @@ def repeated_starts(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -
                     if len(some):
                         pieces = [data[a : b + SPAN].tobytes() for a, b in zip(lo[some], hi[some], strict=True)]
                         zero = signed(np.zeros(len(some), _U))
-                        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(some), np.int64)), signed(c[side][some]), zero, zero, pa.array(k[doc[some]]), pa.array(h[doc[some]]), pa.array((lo - base)[some]), pa.array((hi - base)[some]), pa.array(pieces, pa.binary())], names=names)
+                        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(some), np.int64)), signed(c[side][some]), zero, pa.array(k[doc[some]]), pa.array(h[doc[some]]), pa.array((lo - base)[some]), pa.array((hi - base)[some]), pa.array(pieces, pa.binary())], names=names)
                     rows = rows[many]
                     if len(rows):
                         n = hi[rows] - lo[rows] + 1
@@ -185,13 +198,13 @@ def repeated_starts(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -
                         start = np.repeat(lo[rows] - np.cumsum(n) + n, n) + np.arange(n.sum())
                         a, b = prints.of(0, start, start + SPAN), prints.of(1, start, start + SPAN)
                         place = pa.array(start - base[of])
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(of), 2)), signed(a), signed(b), signed(np.zeros(len(of), _U)), pa.array(k[doc[of]]), pa.array(h[doc[of]]), place, place, pa.nulls(len(of), pa.binary())], names=names)
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(of), 2)), signed(a), signed(b), pa.array(k[doc[of]]), pa.array(h[doc[of]]), place, place, pa.nulls(len(of), pa.binary())], names=names)
 
-    found = materialise(docs.transform(map_batches, look_up, "kind long, u long, r long, l long, k long, h long, i0 long, i1 long, bytes binary"), "contexts")
-    whole = found.where("kind = 0").join(known.where("kind = 0").select("u", "r", "l"), ["u", "r", "l"], "left_semi").select("k", "h", F.col("i0").alias("a"), F.col("i1").alias("b"))
-    starts = found.where("kind = 2").select("u", "r", "k", "h", "i0")
-    common = starts.groupBy("u", "r").agg(F.count("*").alias("n")).where("n > 1").select("u", "r")
-    single = starts.join(common, ["u", "r"], "left_semi").select("k", "h", F.col("i0").alias("a"), F.col("i0").alias("b"))
+    found = materialise(docs.transform(map_batches, look_up, "kind long, u long, v long, k long, h long, i0 long, i1 long, bytes binary"), "contexts")
+    whole = found.where("kind = 0").join(known.where("kind = 0").select("u", "v"), ["u", "v"], "left_semi").select("k", "h", F.col("i0").alias("a"), F.col("i1").alias("b"))
+    starts = found.where("kind = 2").select("u", "v", "k", "h", "i0")
+    common = starts.groupBy("u", "v").agg(F.count("*").alias("n")).where("n > 1").select("u", "v")
+    single = starts.join(common, ["u", "v"], "left_semi").select("k", "h", F.col("i0").alias("a"), F.col("i0").alias("b"))
     halves = found.where("kind = 1").select("u", "k", "h", "i0", "bytes").repartition("u").sortWithinPartitions("u")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,7 +247,9 @@ def repeated_starts(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -
             yield settle()
 
     part = halves.transform(map_batches, compare, "k long, h long, a long, b long")
-    return materialise(whole.unionByName(single).unionByName(part), "starts")
+    every = materialise(whole.unionByName(single).unionByName(part), "starts")
+    release(found, known)
+    return every
 
 
 def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", keep_text: bool = False, carry: list[str] | None = None) -> DataFrame:
@@ -242,7 +257,8 @@ def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", ke
 
     Every byte that a repeated string of SPAN bytes covers goes, in all its occurrences; matches stay
     within a row, and repeated rows are occurrences of their own. Null texts are empty, texts below
-    SPAN bytes lose nothing, null ids stay. Kept text leaves out bytes of characters that were cut.
+    SPAN bytes lose nothing, very long ones are parsed in pieces, null ids stay. Kept text leaves out
+    bytes of characters that were cut.
     An empty table gives an empty one; other columns are ignored.
     """
     spark = df.sparkSession
@@ -320,4 +336,5 @@ def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", ke
 
 
 def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each row of `documents`: its bytes, how many go, in how many runs, and the sha256 of what stays."""
     return remove_repeats(table(spark, sf_dir, "documents"))
