@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from tidewheel.llm.arrow import held_out, map_columns
-from tidewheel.llm.sampling import first_by_hash
+from tidewheel.llm.sampling import MOST_GROUPS, SAMPLE_BYTES, first_by_hash, sampled_texts
 from tidewheel.llm.texts import buffers, byte_slices
 from tidewheel.sources.tables import table
 
@@ -160,27 +160,28 @@ class LanguageModel:
         return lang.tolist(), 1 / (1 + np.exp(-SHARPNESS * np.minimum(sure, 30)))
 
 
-def fit_language(docs: DataFrame, per_lang: int = 300, modulus: int = 3, rest: int = 1) -> LanguageModel:
+def fit_language(docs: DataFrame, per_lang: int = 300, modulus: int = 3, rest: int = 1, most_langs: int = MOST_GROUPS) -> LanguageModel:
     """Fits on the `per_lang` rows of each language that come first by hash of their id, held-out rows left out.
 
-    The sample is bounded by per_lang for each language; its rows are found by ids alone, then fetched.
+    The sample is bounded by per_lang for each language, by the bytes of sampled_texts, and by
+    `most_langs` languages, those with the most documents; so are the machines, of which there is one
+    for each pair of families and of languages of a family. Ids are found alone, then their texts.
     """
     usable = docs.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id"), modulus, rest))
-    ids = first_by_hash(usable.where(F.col("doc_id").isNotNull()).select("doc_id", "lang"), "lang", per_lang)
-    chosen = [r["doc_id"] for r in ids.select("doc_id").collect()]  # per_lang rows for each language
-    few = usable.where(F.col("text").isNotNull()).join(F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in set(chosen)], "doc_id long")), "doc_id", "left_semi")
-    rows = first_by_hash(few.select("doc_id", "lang", "text"), "lang", per_lang).orderBy("lang", "k").collect()
+    ids = first_by_hash(usable, "lang", per_lang, most_groups=most_langs).select("lang", "doc_id")
+    rows = sampled_texts(usable, ids, "lang", SAMPLE_BYTES // 4)
+    rows.sort(key=lambda r: r["lang"])  # stable: by hash within a language
     return LanguageModel.fit([r["text"] for r in rows], [r["lang"] for r in rows])
 
 
 def identify(df: DataFrame, model: LanguageModel, keep: list[str] | None = None, text: str = "text") -> DataFrame:
     """Adds lang_pred and score (0 to 1) to the kept columns (all by default).
 
-    A text that is null or has no letter gets `und` and 0. Rows are independent; an empty table gives
+    A text that is null or has no letter gets `und` and 0; of a very long one all bytes count. Rows are independent; an empty table gives
     an empty one; columns that have the added names are replaced. Without any learned language every
     row gets `und`.
     """
-    shared = df.sparkSession.sparkContext.broadcast(model)  # a few hundred KB for each machine
+    shared = df.sparkSession.sparkContext.broadcast(model)  # 256 KB for each machine, whose number fit_language bounds
 
     def make():
         found = shared.value
@@ -203,6 +204,7 @@ def identify(df: DataFrame, model: LanguageModel, keep: list[str] | None = None,
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each row of `documents`: whether it is held out, the language predicted (`und` without a letter) and a score."""
     docs = table(spark, sf_dir, "documents")
     found = identify(docs, fit_language(docs), keep=["doc_id"])
     return found.select("doc_id", held_out(F.col("doc_id"), 3, 1).alias("held_out"), "lang_pred", "score")

@@ -107,7 +107,8 @@ def pack_block(pieces: list[tuple[int | None, int, bytes, int]], size: int, slac
 def pack(df: DataFrame, tokenizer: tuple[str, str | None, str | None], size: int = 1024, end_id: int = 0, block_tokens: int = 1 << 21, slack: int = 8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each piece of a document: where it starts, how long it is and where it was laid.
 
-    Null and empty texts are documents of the end id alone. Repeated rows and repeated or null ids are
+    Null and empty texts are documents of the end id alone; very long ones are cut into full windows
+    first. Repeated rows and repeated or null ids are
     packed as documents of their own. An empty table gives no rows; other columns are ignored.
     """
 
@@ -161,4 +162,6 @@ def gpt_bytes() -> tuple[str, str, str]:
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each piece of a row of `documents` in sequences of at most 1024 ids: where it starts, how long it is, the
+    crc32 of its ids, how many the document has, and the sequence and offset where it lies."""
     return pack(table(spark, sf_dir, "documents"), gpt_bytes())

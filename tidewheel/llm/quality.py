@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tidewheel.llm.arrow import held_out, map_columns, slices
-from tidewheel.llm.sampling import first_by_hash
+from tidewheel.llm.sampling import first_by_hash, sampled_texts
 from tidewheel.sources.tables import table
 
 WINDOW = 4096
@@ -104,17 +104,14 @@ class QualityModel:
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, modulus: int, rest: int) -> tuple[list[str], np.ndarray, float]:
     """Texts and labels of at most `per_class` rows of each class, first by hash of the id, and the share of class 1.
 
-    Held-out, unlabelled and null rows are left out. Ids are chosen from the labels alone; of repeated
-    ids one row is used.
+    Held-out, unlabelled and null rows are left out, and ids that have labels of both classes. Ids are
+    chosen from the labels alone; of repeated ids one text is used. See sampled_texts for the bound in bytes.
     """
-    spark = docs.sparkSession
-    usable = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), modulus, rest)).select("doc_id", F.col(label).cast("int").alias("y"))
+    usable = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), modulus, rest))
+    usable = usable.groupBy("doc_id").agg(F.min(label).cast("int").alias("y"), F.max(label).cast("int").alias("__hi")).where("y = __hi").select("doc_id", "y")
     counts = {r["y"]: r["n"] for r in usable.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    chosen = {r["doc_id"]: r["y"] for r in first_by_hash(usable, "y", per_class).collect()}
-    ids = spark.createDataFrame([(i,) for i in chosen], "doc_id long")
-    rows = docs.join(F.broadcast(ids), "doc_id", "left_semi").where(F.col("text").isNotNull()).groupBy("doc_id").agg(F.min("text").alias("text")).orderBy(F.xxhash64("doc_id"), "doc_id").collect()
-    y = np.array([chosen[r["doc_id"]] for r in rows], dtype=int)
-    return [r["text"] for r in rows], y, counts.get(1, 0) / max(1, sum(counts.values()))
+    rows = sampled_texts(docs, first_by_hash(usable, "y", per_class), "y")
+    return [r["text"] for r in rows], np.array([r["y"] for r in rows], dtype=int), counts.get(1, 0) / max(1, sum(counts.values()))
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, per_class: int = 1500, modulus: int = 4, rest: int = 2) -> QualityModel:
@@ -125,8 +122,9 @@ def fit_quality(docs: DataFrame, labels: DataFrame, per_class: int = 1500, modul
 def score_quality(df: DataFrame, model: QualityModel, threshold: float = 0.7, keep: list[str] | None = None, text: str = "text") -> DataFrame:
     """Adds score (probability of label 1) and predicted (1 from `threshold` on) to the kept columns.
 
-    Null and empty texts share one score, that of an empty text. Rows are independent, an empty table
-    gives an empty one, and columns that have the added names are replaced.
+    Null and empty texts share one score, that of an empty text; very long texts are compressed window
+    by window. Rows are independent, an empty table gives an empty one, and columns that have the added
+    names are replaced.
     """
     shared = df.sparkSession.sparkContext.broadcast(model)  # two dictionaries
 
@@ -144,6 +142,7 @@ def score_quality(df: DataFrame, model: QualityModel, threshold: float = 0.7, ke
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each row of `documents`: whether it is held out, its score from 0 to 1 and whether that is 0.7 or more."""
     docs = table(spark, sf_dir, "documents")
     scored = score_quality(docs, fit_quality(docs, table(spark, sf_dir, "labels")), keep=["doc_id"])
     return scored.select("doc_id", held_out(F.col("doc_id"), 4, 2).alias("held_out"), "score", "predicted")

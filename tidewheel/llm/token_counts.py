@@ -5,7 +5,8 @@ merge cross the start of a run of spaces. A text is therefore the sum of its pre
 between the starts of space runs. Before any text is seen, every vocabulary string that starts with
 the space mark is encoded alone; those that come back as exactly themselves are whole tokens and
 count 1 by look-up. Only other pre-tokens run the merges, once for each worker while they stay in a
-memo that is emptied at MEMO_ENTRIES.
+memo, which holds those of up to MEMO_LONGEST characters and is emptied at MEMO_ENTRIES, so it takes
+less than 100 MB whatever the texts.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from tidewheel.sources.tables import table
 
 MARK = "▁"
 MEMO_ENTRIES = 300_000
+MEMO_LONGEST = 48
 RUN_START = re.compile(r"(?<! ) ")
 
 
@@ -68,7 +70,10 @@ class PieceCounter:
         memo = self.memo
         missing = list(set().union(*(x for x in split if x is not None)).difference(memo))
         memo.update(zip(missing, map(len, self.processor.encode(missing, num_threads=1)), strict=True))
-        return [0 if not text else len(self.processor.encode(text)) if parts is None else sum(map(memo.__getitem__, parts)) for text, parts in zip(texts, split, strict=True)]
+        counts = [0 if not text else len(self.processor.encode(text)) if parts is None else sum(map(memo.__getitem__, parts)) for text, parts in zip(texts, split, strict=True)]
+        for long in [x for x in missing if len(x) > MEMO_LONGEST]:
+            del memo[long]
+        return counts
 
 
 @lru_cache(maxsize=2)
@@ -79,7 +84,7 @@ def counter(path: str) -> PieceCounter:
 def count_tokens(df: DataFrame, model_path: str, limit: int = 4096, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Adds n_bytes, n_tokens and over_limit (n_tokens > limit) to the kept columns (all by default).
 
-    Null and empty texts count 0 bytes and 0 tokens. Rows are independent: repeated rows and ties get
+    Null and empty texts count 0 bytes and 0 tokens; very long texts are counted whole. Rows are independent: repeated rows and ties get
     the same figures, an empty table gives an empty one, and existing columns with the added names
     are replaced. `model_path` must exist on every executor.
     """
@@ -103,6 +108,7 @@ def count_tokens(df: DataFrame, model_path: str, limit: int = 4096, text: str =
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each row of `documents`: its bytes, its tokens in piece_bpe_32k.model and whether they are over 4096."""
     import public_tokenizers
 
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), keep=["doc_id"])
