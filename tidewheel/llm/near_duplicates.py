@@ -417,6 +417,38 @@ def classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     return rows.select("doc_id", F.col("h").alias("text_hash"), "text_id", "class_id", first.alias("first"), "n_links", "similarity")
 
 
+def keep_one(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of `df` without those that another document stands for: of each class the first text stays.
+
+    Of rows that repeat id and text the least by their other columns stays, which must have an order.
+    See `classes` for nulls, ties and long texts; columns keep their names and order.
+
+    Only rows that go or repeat have to be found by a join: a filter of bounded size lets most others
+    pass where they are scanned, so their texts do not move. When it is full more of them take the join.
+    """
+    spark, names = df.sparkSession, df.columns
+    key = F.coalesce(F.col(doc_id).cast("long"), F.lit(LOWEST))
+    found = classes(df, doc_id, text).groupBy(F.coalesce("doc_id", F.lit(LOWEST)).alias("__k"), F.col("text_hash").alias("__h")).agg(F.max("first").alias("__stays"), F.count("*").alias("__n"))
+    touched = materialise(found.where("NOT __stays OR __n > 1"), "touched")
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(text_key(batch.column(0), batch.column(1)).view(np.int64))], names=["key"])
+
+    shared = spark.sparkContext.broadcast(build(touched.select("__k", "__h").transform(map_batches, keys, "key long")))  # 32 MB at most
+
+    @F.arrow_udf("boolean")
+    def might_go(k: pa.Array, h: pa.Array) -> pa.Array:
+        return pa.array(shared.value.might_hold(text_key(k, h)))
+
+    hashed = df.withColumns({"__k": key, "__h": F.unhex(F.md5(F.coalesce(text, F.lit(""))))})
+    still = hashed.where(~might_go("__k", "__h")).select(*names)
+    moved = hashed.where(might_go("__k", "__h")).join(touched, ["__k", "__h"], "left").where("coalesce(__stays, true)")
+    others = [c for c in names if c != text]
+    one = moved.groupBy("__k", "__h").agg(F.min(F.struct(*[F.col(f"`{c}`") for c in others])).alias("__row"), F.min(F.col(f"`{text}`")).alias("__text"))
+    return still.unionByName(one.select(*[F.col(f"__row.`{c}`") if c != text else F.col("__text").alias(text) for c in names]))
+
+
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row for each row of `documents`: the least id of its text, the least id of its class, how many links were found at
     its text and the greatest similarity among them."""
