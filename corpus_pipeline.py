@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidewheel.llm.language import UNKNOWN, fit_language, identify
 from tidewheel.llm.mixing import mix
-from tidewheel.llm.near_duplicates import classes
+from tidewheel.llm.near_duplicates import keep_one
 from tidewheel.llm.packing import gpt_bytes, pack
 from tidewheel.llm.repeats import remove_repeats
 from tidewheel.sources.shared import materialise
@@ -34,13 +34,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Texts decide: different texts that share an id, or have none, all stay unless another stands for
     them. Of rows that repeat id and text the least by language, source and length stays. Null texts
-    are empty. Empty input stays empty.
+    count as empty. Empty input stays empty.
     """
-    kept = classes(docs).where("first").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__h")).distinct()
-    hashed = docs.withColumn("__text", F.unhex(F.md5(F.coalesce("text", F.lit("")))))
-    chosen = hashed.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__h")), "left_semi")
-    one = chosen.groupBy("doc_id", "__text").agg(F.min(F.struct("lang", "source", "n_chars", "text")).alias("row"))
-    return one.select("doc_id", "row.*").select(*COLUMNS)
+    return keep_one(docs.select(*COLUMNS))
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
