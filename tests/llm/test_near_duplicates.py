@@ -162,3 +162,9 @@ def test_frequencies_are_of_all_documents(spark):
     assert few[2] == 2 and many[2] == 1
     for docs in ([(1, a), (2, b), *shared], [(1, a), (2, b), *apart]):
         check(spark, docs)
+
+
+def test_shrunk_hashes_come_back():
+    for values in ([], [0], [2**64 - 1], [1, 2, 2**48, 2**63, 2**64 - 1], np.unique(np.random.default_rng(1).integers(0, 2**64, 5000, dtype=np.uint64))):
+        values = np.array(values, np.uint64)
+        assert (nd.restored(*nd.shrunk(values)) == values).all()

@@ -88,6 +88,20 @@ def weighed_slices(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray, np.nd
     return [(*weighed(*buffers(column.slice(begin, end - begin))), end - begin) for begin, end in byte_slices(column)]
 
 
+def shrunk(values: np.ndarray) -> tuple[bytes, bytes]:
+    """Ascending values as the lower six bytes of each step, and the upper two, which are mostly 0, compressed."""
+    steps = np.diff(values, prepend=np.uint64(0)).astype("<u8")
+    upper = (steps >> np.uint64(48)).astype("<u2")
+    return steps.view(np.uint8).reshape(-1, 8)[:, :6].tobytes(), zstandard.ZstdCompressor(level=1).compress(upper.tobytes())
+
+
+def restored(lower: bytes, upper: bytes) -> np.ndarray:
+    steps = np.zeros((len(lower) // 6, 8), np.uint8)
+    steps[:, :6] = np.frombuffer(lower, np.uint8).reshape(-1, 6)
+    steps[:, 6:] = np.frombuffer(zstandard.ZstdDecompressor().decompress(upper), np.uint8).reshape(-1, 2)
+    return np.cumsum(steps.view("<u8").ravel())
+
+
 def document_frequencies(blocks: DataFrame, parts: int) -> DataFrame:
     """(block, part, z): for each block the documents of all blocks that have its distinct shingles, in order of part and hash.
 
@@ -105,23 +119,24 @@ def document_frequencies(blocks: DataFrame, parts: int) -> DataFrame:
                 part = ((found >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
                 at = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(found)]
                 ranges = list(zip(at, at[1:], strict=False))
+                lower, upper = zip(*[shrunk(found[a:b]) for a, b in ranges], strict=True)
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(part[at[:-1]]), pa.array([block] * len(ranges), pa.int64()), pa.array([found[a:b].tobytes() for a, b in ranges], pa.binary()),
+                    pa.array(part[at[:-1]]), pa.array([block] * len(ranges), pa.int64()), pa.array(lower, pa.binary()), pa.array(upper, pa.binary()),
                     pa.array([squeeze(times[a:b].astype(np.int32).tobytes()) for a, b in ranges], pa.binary()),
-                ], names=["part", "block", "found", "times"])
+                ], names=["part", "block", "lower", "upper", "times"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze, expand = zstandard.ZstdCompressor(level=1).compress, zstandard.ZstdDecompressor().decompress
         for run in groups(batches, 1):
-            own = [np.frombuffer(x.as_py(), np.uint64) for x in run.column(2)]
-            times = np.concatenate([np.frombuffer(expand(x.as_py()), np.int32) for x in run.column(3)])
+            own = [restored(x.as_py(), y.as_py()) for x, y in zip(run.column(2), run.column(3), strict=True)]
+            times = np.concatenate([np.frombuffer(expand(x.as_py()), np.int32) for x in run.column(4)])
             _, which = np.unique(np.concatenate(own), return_inverse=True)
             total = np.bincount(which, times).astype(np.int32)[which]
             ends = np.cumsum([len(x) for x in own])[:-1]
             z = pa.array([squeeze(x.tobytes()) for x in np.split(total, ends)], pa.binary())
             yield pa.RecordBatch.from_arrays([run.column(1), run.column(0), z], names=["block", "part", "z"])
 
-    dealt = blocks.select("block", "z").transform(map_batches, deal, "part long, block long, found binary, times binary")
+    dealt = blocks.select("block", "z").transform(map_batches, deal, "part long, block long, lower binary, upper binary, times binary")
     return dealt.repartitionById(parts, F.col("part").cast("int")).sortWithinPartitions("part").transform(map_batches, add, "block long, part long, z binary")
 
 
