@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewheel import functions
-from tidewheel.operators import combining, integrity, ordering, partitioning
+from tidewheel.operators import combining, integrity, joins, ordering, partitioning
 from tidewheel.plans import fetching, flushing
 from tidewheel.sources.exchange import Exchange, register
 from tidewheel.sources.tables import table
@@ -97,6 +97,13 @@ def exchange_salted(spark, sf_dir):
     return partitioning.salted_totals(df, "l_returnflag", {"n": ("count", "l_linenumber"), "s": ("sum", "l_linenumber"), "hi": ("max", "l_partkey")})
 
 
+@query("SELECT ('0x' || substr(md5(l_orderkey || ':' || l_partkey || ':' || l_suppkey || ':' || l_linenumber || ':17'), 1, 8))::BIGINT % 1000 AS r, count(*) AS n, sum(l_linenumber)::BIGINT AS s FROM lineitem GROUP BY 1")
+def exchange_seeded(spark, sf_dir):
+    """Each record goes to a target that a seed draws for it, the same whenever it is drawn again."""
+    df = lines(spark, sf_dir, *LINE_KEYS).withColumn("r", partitioning.seeded(1000, 17, "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"))
+    return partitioning.by_id(df, 1000, F.col("r")).groupBy("r").agg(F.count("*").alias("n"), F.sum("l_linenumber").alias("s"))
+
+
 # The durable exchange
 
 
@@ -129,13 +136,55 @@ def map_range_read(spark, sf_dir):
     return totals(stored(spark, sf_dir).read(1, 3, 0, 20))
 
 
-@query()
+@query("SELECT true AS stored, true AS removed, false AS still_there, false AS removed_again")
 def unregister_shuffle(spark, sf_dir):
     exchange = stored(spark, sf_dir)
     seen = [exchange.exists(), exchange.unregister(), exchange.exists(), exchange.unregister()]
     return spark.createDataFrame([tuple(seen)], "stored boolean, removed boolean, still_there boolean, removed_again boolean")
 
 
+def retried(spark: SparkSession, sf_dir: str) -> Exchange:
+    """Lines in an exchange whose maps divisible by 3 ran twice, the first time with other rows, and by 7 a third time, which failed."""
+    rows = placed_lines(spark, sf_dir, "l_partkey", "l_linenumber")
+    exchange, ids = register(spark, REDUCES), (F.col("reduce_id"), F.col("map_id"))
+    exchange.write(rows.withColumn("l_linenumber", F.col("l_linenumber") + (F.col("map_id") % 3 == 0).cast("int")), *ids)
+    exchange.write(rows.where("map_id % 3 = 0"), *ids, attempt=1)
+    return exchange.write(rows.where("map_id % 7 = 0"), *ids, attempt=2, commit=False)
+
+
+_TOTALS_OF_LINES = "SELECT l_partkey AS key, count(*) AS n, sum(l_linenumber)::BIGINT AS s FROM lineitem GROUP BY 1"
+
+
+@query(_TOTALS_OF_LINES)
+def committed_read(spark, sf_dir):
+    """Each map's last committed attempt, from what is stored."""
+    return combining.combine(retried(spark, sf_dir).read(), "l_partkey", "l_linenumber", ["count", "sum"]).toDF("key", "n", "s")
+
+
+@query("SELECT l_orderkey % 40 AS map_id, (l_orderkey % 40 % 3 = 0)::INT AS attempt, count(*) AS records, count(*) * 16 AS bytes, count(DISTINCT l_partkey % 5) AS blocks FROM lineitem GROUP BY ALL")
+def stored_write_metrics(spark, sf_dir):
+    exchange = retried(spark, sf_dir)
+    attempts = exchange.manifest().select("map_id", F.col("attempt").cast("int").alias("attempt")).distinct()
+    return exchange.metrics("map_id").join(attempts, "map_id").select("map_id", "attempt", "records", "bytes", "blocks")
+
+
+@query("SELECT l_partkey % 5 AS reduce_id, count(*) AS records, count(*) * 16 AS bytes, count(DISTINCT l_orderkey % 40) AS blocks FROM lineitem GROUP BY ALL")
+def stored_read_metrics(spark, sf_dir):
+    return retried(spark, sf_dir).metrics("reduce_id")
+
+
+@query("""WITH b AS (SELECT l_orderkey % 40 AS map_id, l_partkey % 5 AS reduce_id, count(*) AS n, count(*) FILTER (WHERE l_orderkey % 40 <> 7 OR l_linenumber >= 3) AS kept FROM lineitem GROUP BY ALL)
+ SELECT map_id, reduce_id, 'short' AS problem FROM b WHERE map_id = 7 AND kept > 0 AND kept * 1.1::DOUBLE < n UNION ALL SELECT map_id, reduce_id, 'corrupt' FROM b WHERE (map_id = 7 AND kept > 0 AND kept < n) OR (map_id = 5 AND reduce_id = 1)
+ UNION ALL SELECT map_id, reduce_id, 'missing' FROM b WHERE (map_id = 3 AND reduce_id = 2) OR (map_id = 7 AND kept = 0) UNION ALL SELECT map_id, reduce_id, 'unlisted' FROM b WHERE map_id = 11""")
+def stored_problems(spark, sf_dir):
+    """A store that lost rows of map 7 and a block of map 3, holds a wrong value in a block of map 5, and blocks of map 11 that nobody published."""
+    rows = placed_lines(spark, sf_dir, "l_partkey", "l_linenumber")
+    held = rows.where("NOT (map_id = 7 AND l_linenumber < 3) AND NOT (map_id = 3 AND reduce_id = 2)")
+    held = held.withColumn("l_linenumber", F.when(F.expr("map_id = 5 AND reduce_id = 1"), -F.col("l_linenumber")).otherwise(F.col("l_linenumber")))
+    exchange = register(spark, REDUCES).write(held, F.col("reduce_id"), F.col("map_id"), sent=rows.where("map_id <> 11"))
+    return exchange.problems()
+
+
 # Combining
 
 
@@ -143,8 +192,7 @@ def unregister_shuffle(spark, sf_dir):
  sum(l_linenumber)::DOUBLE / count(*) AS mean FROM lineitem GROUP BY 1""")
 def combine_map_side(spark, sf_dir):
     names = ["count", "sum", "min", "max"]
-    runs = combining.partial_runs(placed_lines(spark, sf_dir, "l_partkey", "l_linenumber"), ["map_id", "l_partkey"], "l_linenumber", names)
-    merged = combining.merge_runs(runs, "l_partkey", names)
+    merged = combining.combine(lines(spark, sf_dir, "l_partkey", "l_linenumber"), "l_partkey", "l_linenumber", names)  # partial on the map side
     return merged.select(F.col("l_partkey").alias("key"), F.col("count").alias("n"), F.col("sum").alias("s"), F.col("min").alias("lo"), F.col("max").alias("hi"), (F.col("sum").cast("double") / F.col("count")).alias("mean"))
 
 
@@ -408,6 +456,23 @@ def join_asof(spark, sf_dir):
     return seen.where("event_type = 'purchase'").select("event_id", "last_click")
 
 
+@query("""WITH e AS (SELECT user_id, event_id, epoch_us(ts) AS t, event_type FROM events)
+ SELECT p.event_id AS purchase, c.event_id AS click FROM e p JOIN e c ON c.user_id = p.user_id AND c.event_type = 'click' AND c.t BETWEEN p.t - 7200000000 AND p.t WHERE p.event_type = 'purchase'""")
+def join_interval(spark, sf_dir):
+    """Clicks of the same user in the two hours up to each purchase."""
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"))
+    bought = e.where("event_type = 'purchase'").select("user_id", F.col("event_id").alias("purchase"), F.col("t").alias("bought"))
+    clicked = e.where("event_type = 'click'").select("user_id", F.col("event_id").alias("click"), F.col("t").alias("clicked"))
+    return joins.band_join(bought, clicked, F.col("bought"), F.col("clicked"), 7_200_000_000, 0, ["user_id"]).select("purchase", "click")
+
+
+@query("SELECT s_suppkey, c_custkey FROM supplier JOIN customer ON c_acctbal BETWEEN s_acctbal - 5 AND s_acctbal + 5")
+def join_range(spark, sf_dir):
+    """Customers whose balance is within 5 of a supplier's: no key but nearness."""
+    s, c = (table(spark, sf_dir, t).select(f"{x}key", b) for t, x, b in (("supplier", "s_supp", "s_acctbal"), ("customer", "c_cust", "c_acctbal")))
+    return joins.band_join(s, c, F.col("s_acctbal"), F.col("c_acctbal"), 5, 5).select("s_suppkey", "c_custkey")
+
+
 @query("""WITH a AS (SELECT o_custkey AS key, list_sort(list(o_orderkey)) AS l FROM orders WHERE o_orderkey % 2 = 0 GROUP BY 1), b AS (SELECT o_custkey AS key, list_sort(list(o_orderkey)) AS l FROM orders WHERE o_orderkey % 3 = 0 GROUP BY 1)
  SELECT key, coalesce(a.l, []) AS left_values, coalesce(b.l, []) AS right_values FROM a FULL JOIN b USING (key)""")
 def cogroup(spark, sf_dir):
@@ -484,6 +549,23 @@ def set_except(spark, sf_dir):
     return a.subtract(b)
 
 
+@query(_SET.format("INTERSECT ALL"))
+def set_intersect_all(spark, sf_dir):
+    a, b = key_sets(spark, sf_dir)
+    return a.intersectAll(b)
+
+
+@query(_SET.format("EXCEPT ALL"))
+def set_except_all(spark, sf_dir):
+    a, b = key_sets(spark, sf_dir)
+    return a.exceptAll(b)
+
+
+@query("""WITH s AS (SELECT ts, event_type, unnest([0, 1, 2, 3]) AS k FROM events) SELECT time_bucket(INTERVAL 6 HOUR, ts) - k * INTERVAL 6 HOUR AS window_start, event_type, count(*) AS n FROM s GROUP BY ALL""")
+def events_sliding(spark, sf_dir):
+    return tumbling_counts(table(spark, sf_dir, "events"), "1 day", slide="6 hours")
+
+
 @query("SELECT time_bucket(INTERVAL 1 DAY, ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL")
 def events_tumbling(spark, sf_dir):
     return tumbling_counts(table(spark, sf_dir, "events"))

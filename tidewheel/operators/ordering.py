@@ -21,13 +21,14 @@ def ranked(df: DataFrame, *order: Column | str, within: list[str] | None = None,
 def globally_ranked(df: DataFrame, *order: Column, name: str = "rank") -> DataFrame:
     """Rank over the whole table without a one-task window; `order` should be unique.
 
-    Rows are range-partitioned and sorted, and written once with the number of their partition, so that
-    both readers below see the same layout. Each partition numbers its own rows and adds the number of
-    rows in the partitions before it, one figure for each partition.
+    Rows move once: range-partitioned, sorted, numbered as each partition streams by, and written with
+    their number (partition in the upper bits, row in the lower 33). A rank is the row's place plus the
+    rows of the partitions before, one figure for each partition.
     """
-    placed = materialise(df.repartitionByRange(*order).withColumn("__p", F.spark_partition_id()), "ranked")
-    counts = placed.groupBy("__p").agg(F.count("*").alias("__n"))
+    numbered = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id())
+    placed = materialise(numbered, "ranked")
+    part, row = F.shiftright("__at", 33), F.col("__at").bitwiseAND((1 << 33) - 1)
+    counts = placed.groupBy(part.alias("__p")).agg(F.count("*").alias("__n"))
     before = counts.select("__p", (F.sum("__n").over(Window.orderBy("__p")) - F.col("__n")).alias("__before"))
-    local = placed.withColumn("__k", F.row_number().over(Window.partitionBy("__p").orderBy(*order)))
     # one row for each shuffle partition, so the small side is bounded by their number
-    return local.join(F.broadcast(before), "__p").withColumn(name, F.col("__before") + F.col("__k")).drop("__p", "__k", "__before")
+    return placed.withColumn("__p", part).join(F.broadcast(before), "__p").withColumn(name, F.col("__before") + row + 1).drop("__p", "__at", "__before")

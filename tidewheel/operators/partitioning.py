@@ -36,6 +36,12 @@ def by_id(df: DataFrame, n: int, reduce_id: Column) -> DataFrame:
     return df.repartitionById(n, reduce_id.cast("int"))
 
 
+def seeded(n: int, seed: int, *columns: str) -> Column:
+    """One of n targets, drawn for each record by the md5 of its columns and a seed; null columns count as none."""
+    drawn = F.conv(F.substring(F.md5(F.concat_ws(":", *[F.col(c).cast("string") for c in columns], F.lit(str(seed)))), 1, 8), 16, 10)
+    return F.pmod(drawn.cast("long"), F.lit(n)).cast("long")
+
+
 def salted_totals(df: DataFrame, key: str, aggregates: dict[str, tuple[str, str]], salts: int = 16) -> DataFrame:
     """Two-level totals for skewed keys whose aggregate has no map-side combine of its own.
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import math
 from collections.abc import Iterator
 
@@ -36,20 +37,32 @@ def flush_rounds(df: DataFrame, partition: str, order: str, size: str, threshold
 def largest_first(df: DataFrame, task: str, order: str, partition: str, size: str, limit: int, share: float = 0.75) -> DataFrame:
     """Flushes of map tasks under a total limit: above `limit` x `share` the largest partition goes.
 
-    Memory is one counter for each reduce partition of the task at hand. What is left at the end of a
-    task is flushed largest first. Ties go to the smaller partition id.
+    The total is looked at only when a row leaves its partition no larger than the largest has been: a
+    partition that has just become the largest gets no look, so a task may hold more than the valve by
+    what those rows brought. What is left at the end of a task is flushed largest first. Ties go to the
+    smaller partition id. Memory is one counter for each reduce partition of the task at hand; a heap
+    with stale entries finds the largest. Memory that grows on request is the engine's affair.
     """
     ordered = df.select(task, order, partition, size).repartition(task).sortWithinPartitions(task, order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, held, step = None, {}, 0
+        at, step, total, most = None, 0, 0, 0
+        held: dict[int, int] = {}
+        heap: list[tuple[int, int]] = []
         rows: list[tuple] = []
 
+        def largest() -> int:
+            while heap and held.get(heap[0][1]) != -heap[0][0]:
+                heapq.heappop(heap)
+            return -heap[0][0] if heap else 0
+
         def flush() -> None:
-            nonlocal step
-            p = min(held, key=lambda k: (-held[k], k))
-            rows.append((at, step, p, held.pop(p)))
-            step += 1
+            nonlocal step, total, most
+            largest()
+            n, p = heapq.heappop(heap)
+            del held[p]
+            rows.append((at, step, p, -n))
+            step, total, most = step + 1, total + n, largest()
 
         def out() -> pa.RecordBatch:
             made = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else [()] * 4)], names=["map_id", "step", "reduce_id", "n_bytes"])
@@ -61,9 +74,14 @@ def largest_first(df: DataFrame, task: str, order: str, partition: str, size: st
                 if t != at:
                     while held:
                         flush()
-                    at, step = t, 0
+                    at, step, total, most = t, 0, 0, 0
+                    heap.clear()
                 held[p] = held.get(p, 0) + (n or 0)
-                if sum(held.values()) > limit * share:
+                total += n or 0
+                heapq.heappush(heap, (-held[p], p))
+                if held[p] > most:
+                    most = held[p]
+                elif total > limit * share:
                     flush()
             yield out()
         while held:

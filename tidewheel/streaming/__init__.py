@@ -15,10 +15,10 @@ def local(time: str, watermark: str | None) -> Column:
     return F.col(time).cast("timestamp_ntz") if watermark else F.col(time)
 
 
-def tumbling_counts(events: DataFrame, width: str = "1 day", watermark: str | None = None) -> DataFrame:
-    """Events by window and type. With a watermark the same plan runs on a stream and drops state of closed windows."""
+def tumbling_counts(events: DataFrame, width: str = "1 day", watermark: str | None = None, slide: str | None = None) -> DataFrame:
+    """Events by window and type; with `slide` windows begin that far apart and overlap. With a watermark the same plan runs on a stream and drops state of closed windows."""
     events = late(events, watermark)
-    counted = events.groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count("*").alias("n"))
+    counted = events.groupBy(F.window("ts", width, slide).alias("w"), "event_type").agg(F.count("*").alias("n"))
     return counted.select(local("w.start", watermark).alias("window_start"), "event_type", "n")
 
 
