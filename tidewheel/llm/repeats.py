@@ -41,6 +41,7 @@ HALF = 100
 CROWD = 2048
 FLUSH = 1 << 18
 LONG = 1 << 20
+TOGETHER = 2048  # half contexts compared at once, some 600 kB
 
 _U = np.uint64
 _BASES = (0x100000001B3, 0x9E3779B97F4A7C15 | 1)
@@ -54,9 +55,21 @@ class Prints:
 
     def __init__(self, data: np.ndarray):
         n = len(data)
-        self.sums = [np.concatenate([[_NONE], np.cumsum(t[data] * _power(b, n))]) for t, b in zip(_TABLES, _BASES, strict=True)]
+        self.sums = []
+        for t, b in zip(_TABLES, _BASES, strict=True):
+            s = np.zeros(n + 1, _U)
+            np.multiply(t[data], _power(b, n), out=s[1:])
+            self.sums.append(np.cumsum(s, out=s))
         self.n = n
 
+    def grams(self, which: int, width: int) -> np.ndarray:
+        """`of` every start, all of one width, without look-ups."""
+        s = self.sums[which]
+        x = s[width:] - s[: self.n - width + 1]
+        x *= _power(_INVERSES[which], self.n + 1)[: len(x)]
+        x ^= _U(width)
+        return mix(x)
+
     def of(self, which: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         s = self.sums[which]
         return mix((s[end] - s[start]) * _power(_INVERSES[which], self.n + 1)[start] ^ (end - start).astype(_U))
@@ -70,8 +83,9 @@ def parse(data: np.ndarray, at: np.ndarray, prints: Prints) -> dict[str, np.ndar
     if n < SPAN:
         return dict.fromkeys("doc i0 i1 t".split(), empty) | dict.fromkeys("u v r l".split(), np.zeros(0, _U))
     at = at.astype(np.int64)
-    grams = np.arange(n - GRAM + 1)
-    least = prints.of(0, grams, grams + GRAM) & _U(0xFFFFFFFF00000000) | grams.astype(_U)
+    least = prints.grams(0, GRAM)
+    least &= _U(0xFFFFFFFF00000000)
+    least |= np.arange(n - GRAM + 1, dtype=_U)
     width, span = 1, SPAN - GRAM + 1
     while 2 * width <= span:
         least = np.minimum(least[:-width], least[width:])
@@ -241,7 +255,7 @@ def repeated_starts(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -
             if run.num_rows > 1:
                 held.append(run)
                 rows += run.num_rows
-                if rows >= 4096:
+                if rows >= TOGETHER:
                     yield settle()
         if held:
             yield settle()
