@@ -3,6 +3,7 @@ import random
 from collections import Counter
 
 import pyarrow as pa
+from compare import same
 from pyspark.sql import functions as F
 
 from tidewheel.llm import repeats
@@ -62,6 +63,11 @@ def test_whole_table(spark):
     check(spark, [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()])
 
 
+def test_query_equals_sql(spark):
+    sf = "/root/testdata/sf0.01"
+    assert same(repeats.op3_repeats(spark, sf), repeats.OP3_SQL, sf) == "same"
+
+
 def test_empty(spark):
     assert repeats.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 

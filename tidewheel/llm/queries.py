@@ -9,7 +9,7 @@ from tidewheel.llm.near_duplicates import op7_near_duplicates
 from tidewheel.llm.neighbours import op4_neighbours
 from tidewheel.llm.packing import op2_packing
 from tidewheel.llm.quality import op1_quality
-from tidewheel.llm.repeats import op3_repeats
+from tidewheel.llm.repeats import OP3_SQL, op3_repeats
 from tidewheel.llm.token_counts import op6_token_counts
 from tidewheel.llm.toxicity import op10_toxicity
 
@@ -26,4 +26,4 @@ QUERIES = {
     "op10_toxicity": op10_toxicity,
 }
 
-ORACLE_SQL: dict[str, str] = {"op5_mixing": OP5_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_repeats": OP3_SQL, "op5_mixing": OP5_SQL}

@@ -352,3 +352,18 @@ def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", ke
 def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row for each row of `documents`: its bytes, how many go, in how many runs, and the sha256 of what stays."""
     return remove_repeats(table(spark, sf_dir, "documents"))
+
+
+#: Every string of SPAN bytes by itself; runs of starts at most SPAN apart are removed together.
+OP3_SQL = """
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS k, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+s AS MATERIALIZED (SELECT k, i, array_slice(b, i + 1, i + 200) AS w FROM (SELECT k, b, unnest(range(octet_length(b) - 199)) AS i FROM d)),
+g AS (SELECT k, i FROM s WHERE w IN (SELECT w FROM s GROUP BY w HAVING count(*) > 1)),
+m AS (SELECT k, i, sum(CASE WHEN i - before <= 200 THEN 0 ELSE 1 END) OVER (PARTITION BY k ORDER BY i) AS run FROM (SELECT k, i, lag(i) OVER (PARTITION BY k ORDER BY i) AS before FROM g)),
+r AS (SELECT k, min(i) AS a, max(i) + 200 AS z FROM m GROUP BY k, run),
+p AS (SELECT k, lag(z, 1, 0) OVER (PARTITION BY k ORDER BY a) AS f, a AS t, z - a AS cut FROM r
+      UNION ALL SELECT k, coalesce(max(z), 0), max(octet_length(b)), 0 FROM d LEFT JOIN r USING (k) GROUP BY k)
+SELECT any_value(doc_id) AS doc_id, any_value(octet_length(b)) AS n_bytes, sum(cut)::BIGINT AS n_removed, (count(*) - 1)::BIGINT AS n_spans,
+       sha256(unhex(string_agg(CASE WHEN f < t THEN hex(array_slice(b, f + 1, t)) ELSE '' END, '' ORDER BY f))) AS kept_sha256
+FROM p JOIN d USING (k) GROUP BY k
+"""
