@@ -23,13 +23,12 @@ REDUCES, MAPS, WIDTH = 5, 40, 100
 LINE_KEYS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 
 
-def query(sql: str | None = None):
+def query(sql: str):
     """Register a function as a query under its own name."""
 
     def put(f):
         QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
+        ORACLE_SQL[f.__name__] = sql
         return f
 
     return put
@@ -328,8 +327,22 @@ def flush_rounds(spark, sf_dir):
     return flushing.flush_rounds(docs, "reduce_id", "doc_id", "size", 20_000)
 
 
-@query()
+@query("""WITH RECURSIVE docs AS (
+  SELECT doc_id % 8 AS map_id, row_number() OVER (PARTITION BY doc_id % 8 ORDER BY doc_id) AS i, doc_id % 5 AS p, octet_length(encode(text)) AS n FROM documents),
+walk AS (
+  SELECT map_id, 0::BIGINT AS i, [NULL, NULL, NULL, NULL, NULL]::BIGINT[] AS held, 0::BIGINT AS most, 0::BIGINT AS step, NULL::BIGINT AS reduce_id, NULL::BIGINT AS n_bytes FROM docs GROUP BY map_id
+  UNION ALL
+  SELECT map_id, i, CASE WHEN goes THEN list_transform(held, lambda x, j: CASE WHEN j = largest THEN NULL ELSE x END) ELSE held END,
+         CASE WHEN goes THEN coalesce(list_max(list_transform(held, lambda x, j: CASE WHEN j = largest THEN NULL ELSE x END)), 0) ELSE greatest(most, own) END,
+         step + goes::BIGINT, CASE WHEN goes THEN largest - 1 END, CASE WHEN goes THEN held[largest] END
+  FROM (SELECT *, p IS NULL OR (own <= most AND list_sum(held) > 30000) AS goes, list_position(held, list_max(held))::BIGINT AS largest
+        FROM (SELECT *, held[p + 1] AS own
+              FROM (SELECT w.map_id, coalesce(d.i, w.i) AS i, w.most, w.step, d.p, list_transform(w.held, lambda x, j: CASE WHEN j = d.p + 1 THEN coalesce(x, 0) + d.n ELSE x END) AS held
+                    FROM walk w LEFT JOIN docs d ON d.map_id = w.map_id AND d.i = w.i + 1
+                    WHERE d.i IS NOT NULL OR list_max(w.held) IS NOT NULL))))
+SELECT map_id, step - 1 AS step, reduce_id, n_bytes FROM walk WHERE reduce_id IS NOT NULL""")
 def largest_first_flush(spark, sf_dir):
+    """What the valve sends, step by step: 30,000 bytes is its opening."""
     docs = table(spark, sf_dir, "documents")
     buffered = docs.select(F.pmod("doc_id", F.lit(8)).cast("long").alias("map_id"), "doc_id", F.pmod(F.col("doc_id"), F.lit(5)).cast("long").alias("reduce_id"), F.octet_length("text").cast("long").alias("size"))
     return flushing.largest_first(buffered, "map_id", "doc_id", "reduce_id", "size", 40_000)
