@@ -4,6 +4,7 @@ import random
 from functools import lru_cache
 
 import pytest
+from compare import same
 from pyspark.sql import functions as F
 
 from tidewheel.llm import fingerprints as fp
@@ -149,3 +150,8 @@ def test_long_texts_are_hashed_in_pieces(monkeypatch):
     whole = fp.encode(fp.sketch(text))
     monkeypatch.setattr(fp, "AT_ONCE", 100)
     assert fp.encode(fp.sketch(text)) == whole == printed(text)[0]
+
+
+def test_query_equals_sql(spark):
+    sf = "/root/testdata/sf0.01"
+    assert same(fp.op8_fingerprints(spark, sf), fp.OP8_SQL, sf) == "same"

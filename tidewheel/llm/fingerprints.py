@@ -230,3 +230,49 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row for each row of `documents`: n_chars, sha256 of its edited text, fingerprints of both, and how like its
     fingerprint is to the edited text's and to the next document's (by descending id, after the last the first)."""
     return fingerprint_with_next(table(spark, sf_dir, "documents"))
+
+
+def _whole(x: int) -> str:
+    return f"{x}::UHUGEINT"
+
+
+def _mixed(x: str) -> str:
+    """`mix` of a 64-bit value that SQL holds in 128 bits."""
+    for by, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = f"(xor({x}, {x} >> {by}) * {_whole(factor)} & {_whole((1 << 64) - 1)})"
+    return f"xor({x}, {x} >> 31)"
+
+
+#: Ids must be unique: SQL has no hash of ours to order texts of one id by. Powers double their list each round; a shingle
+#: is the sum of its letters' terms, carried back to the power 0.
+OP8_SQL = """
+WITH RECURSIVE powers AS (
+  SELECT [1]::UHUGEINT[] AS up, [1]::UHUGEINT[] AS down, {base}::UHUGEINT AS u, {inverse}::UHUGEINT AS d
+  UNION ALL
+  SELECT list_concat(up, list_transform(up, lambda x: x * u & {mask})), list_concat(down, list_transform(down, lambda x: x * d & {mask})), u * u & {mask}, d * d & {mask}
+  FROM powers WHERE len(up) < 2 + 2 * (SELECT max(octet_length(encode(text))) FROM documents)),
+longest AS (SELECT up, down FROM powers ORDER BY len(up) DESC LIMIT 1),
+power AS (SELECT unnest(up) AS up, unnest(down) AS down, unnest(range(len(up))) AS i FROM longest),
+letter AS (SELECT unhex(printf('%02x', c)) AS c, {mix_letter} AS v FROM (SELECT c::INTEGER AS c, ((c + 1)::UHUGEINT * {step} + 77) & {mask} AS x FROM range(256) AS t(c))),
+docs AS (SELECT row_number() OVER (ORDER BY doc_id DESC NULLS LAST) AS k, count(*) OVER () AS n, doc_id, coalesce(text, '') AS own FROM documents),
+pair AS (SELECT a.k, b.k AS next, a.doc_id, length(a.own) AS n_chars, a.own, left(a.own, length(a.own) - length(a.own) // 2) || left(b.own, length(a.own) // 2) AS edited
+         FROM docs a JOIN docs b ON b.k = a.k % a.n + 1),
+texts AS (SELECT 2 * k AS t, encode(own) AS b FROM pair UNION ALL SELECT 2 * k + 1, encode(edited) FROM pair),
+bytes AS (SELECT t, i, octet_length(b) AS n, array_slice(b, i + 1, i + 1) AS c FROM (SELECT t, b, unnest(range(octet_length(b))) AS i FROM texts)),
+terms AS (SELECT t, i, n, (v * up & {mask})::HUGEINT AS term, down FROM bytes JOIN letter USING (c) JOIN power USING (i)),
+sums AS (SELECT t, i, n, down, sum(term) OVER (PARTITION BY t ORDER BY i ROWS BETWEEN CURRENT ROW AND {width} - 1 FOLLOWING) AS s FROM terms),
+raw AS (SELECT t, ((s::UHUGEINT & {mask}) * down + least(n, {width})::UHUGEINT) & {mask} AS x FROM sums WHERE i <= greatest(n - {width}, 0)),
+hashes AS MATERIALIZED (SELECT DISTINCT t, {mix_hash} AS x FROM raw),
+written AS (SELECT t, x, x < {limit} AS low, lpad(hex(x::UBIGINT), 16, '0') AS h FROM hashes),
+turned AS (SELECT t, x, low, substr(h, 15, 2) || substr(h, 13, 2) || substr(h, 11, 2) || substr(h, 9, 2) || substr(h, 7, 2) || substr(h, 5, 2) || substr(h, 3, 2) || substr(h, 1, 2) AS h FROM written),
+sketch AS (SELECT t, count(*) FILTER (low) AS n, coalesce(string_agg(h, '' ORDER BY x) FILTER (low), '') AS kept, coalesce(string_agg(h, '' ORDER BY x), '') AS every FROM texts LEFT JOIN turned USING (t) GROUP BY t),
+print AS (SELECT t, n, '1/{fraction}:' || to_base64(unhex(kept)) || ':' || CASE WHEN n = 0 THEN md5(unhex(every)) ELSE '' END AS f FROM sketch),
+met AS (SELECT a.t, b.t AS other, count(*) AS both FROM hashes a JOIN hashes b USING (x) WHERE a.x < {limit} AND a.t % 2 = 0 AND
+        (b.t = a.t + 1 OR b.t = (a.t // 2) % (SELECT count(*) FROM documents) * 2 + 2) GROUP BY 1, 2),
+near AS (SELECT p.k, p.doc_id, p.n_chars, sha256(p.edited) AS edited_sha256, a.f AS fingerprint, e.f AS edited_fingerprint,
+         CASE WHEN a.n + e.n = 0 THEN (a.f = e.f)::DOUBLE ELSE coalesce(x.both, 0)::DOUBLE / (a.n + e.n - coalesce(x.both, 0)) END AS near_edited,
+         CASE WHEN a.n + b.n = 0 THEN (a.f = b.f)::DOUBLE ELSE coalesce(y.both, 0)::DOUBLE / (a.n + b.n - coalesce(y.both, 0)) END AS near_next
+         FROM pair p JOIN print a ON a.t = 2 * p.k JOIN print e ON e.t = 2 * p.k + 1 JOIN print b ON b.t = 2 * p.next
+         LEFT JOIN met x ON x.t = a.t AND x.other = e.t LEFT JOIN met y ON y.t = a.t AND y.other = b.t)
+SELECT doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next FROM near
+""".format(base=_BASE, inverse=_INVERSE, mask=_whole((1 << 64) - 1), step=_whole(int(STEP)), width=WIDTH, limit=_whole(int(LIMIT)), fraction=FRACTION, mix_letter=_mixed("x"), mix_hash=_mixed("x"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidewheel.llm.fingerprints import op8_fingerprints
+from tidewheel.llm.fingerprints import OP8_SQL, op8_fingerprints
 from tidewheel.llm.language import op9_language_id
 from tidewheel.llm.mixing import OP5_SQL, op5_mixing
 from tidewheel.llm.near_duplicates import op7_near_duplicates
@@ -26,4 +26,4 @@ QUERIES = {
     "op10_toxicity": op10_toxicity,
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_repeats": OP3_SQL, "op5_mixing": OP5_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_repeats": OP3_SQL, "op5_mixing": OP5_SQL, "op8_fingerprints": OP8_SQL}
