@@ -241,28 +241,21 @@ class ToxicityModel:
         return model
 
 
-def fit_machine(x: np.ndarray, y: np.ndarray, cost: float = 10.0, steps: int = 50) -> np.ndarray:
-    """Linear support vector machine (squared hinge, classes balanced) by Newton's method; bias last.
-
-    The rows short of their margin make a quadratic with an exact least point; a step towards it is halved
-    until the loss falls, and the rows change until none does.
-    """
+def fit_machine(x: np.ndarray, y: np.ndarray, cost: float = 10.0, epochs: int = 60) -> np.ndarray:
+    """Linear support vector machine (squared hinge, classes balanced) by dual coordinate descent; bias last."""
     x = np.column_stack([x, np.ones(len(x))]).astype(float)
-    weight = 2 * cost * np.where(y > 0, max(1, (y < 0).sum()) / max(1, (y > 0).sum()), 1.0)
-
-    def loss(w: np.ndarray) -> float:
-        return w @ w + weight @ np.maximum(0, 1 - y * (x @ w)) ** 2
-
-    w = np.zeros(x.shape[1])
-    for _ in range(steps):
-        short = y * (x @ w) < 1
-        part = x[short] * weight[short, None]
-        step = np.linalg.solve(part.T @ x[short] + np.eye(len(w)), part.T @ y[short]) - w
-        before, size = loss(w), 1.0
-        while size > 1e-6 and loss(w + size * step) > before:
-            size /= 2
-        w = w + size * step
-        if size * np.abs(step).max() < 1e-9 or size <= 1e-6:
+    slack = 0.5 / (cost * np.where(y > 0, max(1, (y < 0).sum()) / max(1, (y > 0).sum()), 1.0))
+    w, alpha, own = np.zeros(x.shape[1]), np.zeros(len(y)), (x * x).sum(1) + slack
+    rng = np.random.default_rng(1)
+    for _ in range(epochs):
+        moved = 0.0
+        for i in rng.permutation(len(y)):
+            new = max(0.0, alpha[i] - (y[i] * (w @ x[i]) - 1 + alpha[i] * slack[i]) / own[i])
+            if new != alpha[i]:
+                w += (new - alpha[i]) * y[i] * x[i]
+                moved = max(moved, abs(new - alpha[i]))
+                alpha[i] = new
+        if moved < 1e-3:
             break
     return w
 
